@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -31,8 +32,7 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_scorelake_shipped", False):
         return
-    root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        archive = shutil.make_archive(f"{folder}/scorelake", "zip", root.parent, root.name)
-        context.addPyFile(archive)
+    root, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="scorelake-")
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(f"{folder}/scorelake", "zip", root.parent, root.name))
     context._scorelake_shipped = True
