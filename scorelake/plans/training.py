@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scorelake.operators import drift, shred
 from scorelake.operators.reconcile import copies_differ
 from scorelake.sources.tables import table
 
@@ -12,4 +13,32 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return copies_differ(*(table(spark, folder, n) for n in ("seed_scores", "seed_scores_mirror", "receptors", "receptors_mirror")))
 
 
-QUERIES = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.changes(drift.path_rows(table(spark, folder, "stage_files")))
+
+
+def p2_table(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.consistent_table(drift.path_rows(table(spark, folder, "stage_files")))
+
+
+def p2_path_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.path_statistics(drift.path_rows(table(spark, folder, "stage_files")))
+
+
+def p2_failed_casts(spark: SparkSession, folder: str) -> DataFrame:
+    return drift.typed_values(drift.path_rows(table(spark, folder, "stage_files"))).where("failed").select("lineage_id", "file_id", "path", "wanted", "raw_type", "raw_value")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shred.hashed_objects(shred.shred(table(spark, folder, "run_records")))
+
+
+def p3_objects(spark: SparkSession, folder: str) -> DataFrame:
+    return shred.object_table(shred.shred(table(spark, folder, "run_records")))
+
+
+def p3_occurrences(spark: SparkSession, folder: str) -> DataFrame:
+    return shred.occurrence_table(shred.shred(table(spark, folder, "run_records")))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p2_found, p2_table, p2_path_statistics, p2_failed_casts, p3_found, p3_objects, p3_occurrences)}
