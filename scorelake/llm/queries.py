@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import tokens
+from pyspark.sql import functions as F
+
+from scorelake.llm import splits, tokens
 from scorelake.sources.tables import table
 
 
@@ -12,5 +14,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    sets = splits.linked_sets(table(spark, folder, "ligands"))
+    return sets.where(F.col("record") != F.col("anchor")).select(F.col("anchor").alias("anchor_ligand_id"), F.col("record").alias("ligand_id"))
+
+
+def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.assign_splits(table(spark, folder, "ligands"), table(spark, folder, "split_targets"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_report(p5_splits(spark, folder), table(spark, folder, "ligands"))
+
+
+QUERIES = {q.__name__: q for q in (p5_found, p5_splits, p5_report, p6_ids)}
 SQL: dict[str, str] = {}
