@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from scorelake.llm import splits, tokens
+from scorelake.llm import splits, tokens, truncation
 from scorelake.sources.tables import table
 
 
@@ -27,5 +27,13 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return splits.split_report(p5_splits(spark, folder), table(spark, folder, "ligands"))
 
 
-QUERIES = {q.__name__: q for q in (p5_found, p5_splits, p5_report, p6_ids)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.score(table(spark, folder, "documents")).where("cut").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.source_rates(truncation.score(table(spark, folder, "documents")))
+
+
+QUERIES = {q.__name__: q for q in (p5_found, p5_splits, p5_report, p6_ids, p8_found, p8_rates)}
 SQL: dict[str, str] = {}
