@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from scorelake.storage import materialize
 
 
-def running_total(df: DataFrame, groups: list[str], order: list[str], weight: str | None = None, out: str = "before") -> DataFrame:
-    """Adds ``out``: the sum of ``weight`` (of 1, if None) over the rows in front, within a group, in the given order.
+def running_totals(df: DataFrame, groups: list[str], order: list[str], weights: dict[str, str | None]) -> DataFrame:
+    """Adds a column per entry of ``weights``: the sum of that column (of 1, if None) over the rows in front, within a group, in the given order.
 
     Rows are range-partitioned by group and order, so a hot group is spread over many tasks. The
     sums of the partitions (one row per group and partition) give each partition its start; within
-    a partition the sum runs on. Ties in ``order`` get different totals in an undefined order: give
-    a total order. Null weights count as 0; an empty table stays empty.
+    a partition the sums run on. Ties in ``order`` get different totals in an undefined order: give
+    a total order. Null weights count as 0; null groups are groups; an empty table stays empty.
     """
-    value = F.lit(1).cast("long") if weight is None else F.coalesce(F.col(weight), F.lit(0))
-    ranged = df.repartitionByRange(*groups, *order) if groups or order else df
-    parts = materialize(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__weight", value), "ranged")
-    sums = parts.groupBy(*groups, "__part").agg(F.sum("__weight").alias("__sum"))
-    start = sums.select(*groups, "__part", F.coalesce(F.sum("__sum").over(Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*groups, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = parts.withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
+    value = {o: F.lit(1).cast("long") if w is None else F.coalesce(F.col(w), F.lit(0)) for o, w in weights.items()}
+    ranged = df.repartitionByRange(*groups, *order)
+    parts = materialize(ranged.select("*", F.spark_partition_id().alias("__part"), *(v.alias(f"__w_{o}") for o, v in value.items())), "ranged")
+    sums = parts.groupBy(*groups, "__part").agg(*(F.sum(f"__w_{o}").alias(f"__w_{o}") for o in value))
+    before, inside = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.partitionBy(*groups).orderBy("__part"), Window.partitionBy(*groups, "__part").orderBy(*order)))
+    start = sums.select(*groups, "__part", *(F.coalesce(F.sum(f"__w_{o}").over(before), F.lit(0)).alias(f"__s_{o}") for o in value))
+    within = parts.select("*", *(F.coalesce(F.sum(f"__w_{o}").over(inside), F.lit(0)).alias(f"__i_{o}") for o in value))
     joined = within.alias("w").join(start.alias("s"), [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*groups, "__part"]])
-    return joined.select(*(F.col(f"w.{c}") for c in df.columns), (F.col("w.__inside") + F.col("s.__start")).alias(out))
+    return joined.select(*(F.col(f"w.{c}") for c in df.columns), *((F.col(f"w.__i_{o}") + F.col(f"s.__s_{o}")).alias(o) for o in value))
+
+
+def running_total(df: DataFrame, groups: list[str], order: list[str], weight: str | None = None, out: str = "before") -> DataFrame:
+    """``running_totals`` of one weight."""
+    return running_totals(df, groups, order, {out: weight})
+
+
+def row_numbers(df: DataFrame, groups: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """Adds ``out``: 1, 2, ... within a group of any size, in a total order."""
+    return running_totals(df, groups, order, {out: None}).withColumn(out, F.col(out) + 1)
