@@ -28,8 +28,9 @@ def scale_terms(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 def impute_median(df: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
     """Missing values become their group's median; a group without any value stays null."""
     medians = df.groupBy(*groups).agg(F.median(value).alias("__median"))
-    same = [df[g].eqNullSafe(medians[g]) for g in groups]
-    return df.join(medians, same, "left").select(*(df[c] for c in df.columns), F.coalesce(df[value], F.col("__median")).alias(out))
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"m.{g}")) for g in groups]
+    joined = df.alias("r").join(medians.alias("m"), same, "left")
+    return joined.select(*(F.col(f"r.{c}") for c in df.columns), F.coalesce(F.col(f"r.{value}"), F.col("m.__median")).alias(out))
 
 
 def signed_geometric_mean(value: Column) -> Column:

@@ -67,4 +67,4 @@ def permutation_gap(df: DataFrame, scope: list[str], unit: str, y: str, value: s
     rows = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("u", uniform(seed, "replicate", unit))
     placed = rows.withColumn("r", F.row_number().over(Window.partitionBy(*scope, "replicate").orderBy("u", unit))).join(whole.select(*scope, "p"), scope)
     gaps = placed.groupBy(*scope, "replicate").agg((F.avg(F.when(F.col("r") > F.col("p"), F.col("v"))) - F.avg(F.when(F.col("r") <= F.col("p"), F.col("v")))).alias("g"))
-    return gaps.join(whole, scope).groupBy(*scope).agg(F.first("gap").alias("gap"), F.count("g").alias("permutations"), ((1 + F.count_if(F.col("g") >= F.col("gap"))) / (1 + F.count("g"))).alias("p_value"))
+    return gaps.join(whole, scope).groupBy(*scope).agg(F.first("gap").alias("gap"), F.count("g").alias("permutations"), ((1 + F.count_if(F.col("g") >= F.col("gap") - 1e-9)) / (1 + F.count("g"))).alias("p_value"))

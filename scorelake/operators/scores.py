@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions.numbers import settled
+
 
 def latest_rows(df: DataFrame, key: list[str], version: str, order: list[str] | None = None) -> DataFrame:
     """One row per key: the one with the greatest version, then the greatest of ``order``; nulls are smallest."""
@@ -51,10 +53,10 @@ def representative_scores(scores: DataFrame, first_replicate: str) -> DataFrame:
 
 
 def replicate_summary(cells: DataFrame, near: float = 0.1) -> DataFrame:
-    """Per (target, entity, scorer): exact median, least, greatest, range of the replicates, which was least, and how many lie near it."""
+    """Per (target, entity, scorer): exact median (to 9 places, so that equal ones tie), least, greatest, range of the replicates, which was least, and how many lie near it."""
     key = ["target_id", "ligand_id", "receptor_id"]
     agg = cells.groupBy(*key).agg(
-        F.count("*").alias("replicate_count"), F.median("score").alias("median_score"), F.min("score").alias("minimum_score"), F.max("score").alias("maximum_score"),
+        F.count("*").alias("replicate_count"), settled(F.median("score")).alias("median_score"), F.min("score").alias("minimum_score"), F.max("score").alias("maximum_score"),
         F.min(F.struct("score", "seed_id"))["seed_id"].alias("best_replicate"), F.sort_array(F.collect_list("score")).alias("all"),
     )
     return agg.select(*agg.columns[:-1], (F.col("maximum_score") - F.col("minimum_score")).alias("score_range"), F.size(F.filter("all", lambda x: x <= F.element_at("all", 1) + near)).alias("near_minimum_count"))
@@ -114,7 +116,7 @@ def long_form(matrix: DataFrame, rows: list[str], column: str, value: str = "sco
 def id_sets_equal(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """One row: ids of either side, of both, and whether the sets are equal."""
     a, b = first.select(key).distinct().withColumn("a", F.lit(1)), second.select(key).distinct().withColumn("b", F.lit(1))
-    both = a.join(b, key, "full_outer").agg(F.count_if("b IS NULL").alias("only_first"), F.count_if("a IS NULL").alias("only_second"), F.count_if("a = 1 AND b = 1").alias("in_both"))
+    both = a.join(b, key, "full_outer").agg(F.count_if(F.expr("b IS NULL")).alias("only_first"), F.count_if(F.expr("a IS NULL")).alias("only_second"), F.count_if(F.expr("a = 1 AND b = 1")).alias("in_both"))
     return both.withColumn("equal_sets", (F.col("only_first") == 0) & (F.col("only_second") == 0))
 
 

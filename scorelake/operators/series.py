@@ -23,7 +23,7 @@ def state_runs(events: DataFrame, entity: str, time: str, tie: str, state: str)
 def trends(events: DataFrame, groups: list[str], time: str, value: str, tie: str) -> DataFrame:
     """Per group: n, first and last value, their difference, least-squares slope per day of the value over time (null for one moment)."""
     order = F.struct(time, tie)
-    days = F.unix_micros(time) / 86_400_000_000.0
+    days = F.unix_micros(F.col(time).cast("timestamp")) / 86_400_000_000.0
     base = events.groupBy(*groups).agg(F.min(days).alias("__t0"))
     rows = events.join(base, groups).withColumn("__t", days - F.col("__t0"))
     v, t = F.col(value), F.col("__t")

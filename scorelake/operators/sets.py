@@ -26,8 +26,8 @@ def coverage(hits: DataFrame, labels: DataFrame, scope: list[str], owner: str) -
 
     ``hits``: scope, owner, entity, y; ``labels``: scope, y of every entity.
     """
-    whole = labels.groupBy(*scope).agg(F.count_if("y = 1").alias("actives"), F.count_if("y = 0").alias("decoys"))
-    own = hits.groupBy(*scope, owner).agg(F.count_if("y = 1").alias("hit_actives"), F.count_if("y = 0").alias("hit_decoys"))
+    whole = labels.groupBy(*scope).agg(F.count_if(F.expr("y = 1")).alias("actives"), F.count_if(F.expr("y = 0")).alias("decoys"))
+    own = hits.groupBy(*scope, owner).agg(F.count_if(F.expr("y = 1")).alias("hit_actives"), F.count_if(F.expr("y = 0")).alias("hit_decoys"))
     return own.join(whole, scope).select(*scope, owner, "hit_actives", "hit_decoys", F.try_divide("hit_actives", "actives").alias("reward"), F.try_divide("hit_decoys", "decoys").alias("exposure"))
 
 
