@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.operators.prefix import row_numbers, running_total
-from scorelake.storage import materialize
+from scorelake.storage import materialize, release
 
 
 def draw(seed: str, key: str) -> Column:
@@ -65,13 +65,16 @@ def linked_groups(df: DataFrame, key: str, links: list[str], rounds: int = 60) -
     pairs = df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("text")) for c in links))).alias("link")).where("link.text IS NOT NULL").distinct()
     pairs = materialize(pairs, "links")
     labels = materialize(df.select(key, F.col(key).alias("label")).where(F.col(key).isNotNull()).distinct(), "labels")
+    before = labels
     for _ in range(rounds):
         by_link = pairs.join(labels, key).groupBy("link").agg(F.min("label").alias("label"))
         offered = pairs.join(by_link, "link").groupBy(key).agg(F.min("label").alias("offer"))
         moved = labels.join(offered, key, "left").select(key, "label", F.least("label", F.coalesce("offer", "label")).alias("next"))
         jump = moved.select(F.col(key).alias("next"), F.col("next").alias("further"))
         following = materialize(moved.join(jump, "next", "left").select(key, F.col("label").alias("old"), F.coalesce("further", "next").alias("label")), "labels")
-        labels = following.select(key, "label")
+        labels, done = following.select(key, "label"), before
+        before = following
+        release(done)
         if following.where("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "group_key")
     raise RuntimeError("labels still move")

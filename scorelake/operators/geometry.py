@@ -73,3 +73,29 @@ def successor_basins(pairs: DataFrame, quality: DataFrame, rounds: int = 30) ->
         if following.where("old <> endpoint").isEmpty():
             break
     return moves.join(ends, "id")
+
+
+def superposed_rmsd(points: DataFrame, reference: DataFrame) -> DataFrame:
+    """(id, direct_rmsd, fitted_rmsd): root mean square distance of 3-D points to those of the group's reference, as they stand and after the best rotation.
+
+    ``points``: id, grp, xyz (flat list of coordinates); ``reference``: grp, ref. The rotation is a
+    small singular value decomposition, done for all rows of an Arrow batch at once.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            a = np.stack([np.asarray(x, float).reshape(-1, 3) for x in f.xyz])
+            b = np.stack([np.asarray(x, float).reshape(-1, 3) for x in f.ref])
+            direct = np.sqrt(((a - b) ** 2).sum((1, 2)) / a.shape[1])
+            a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+            u, s, vt = np.linalg.svd(np.einsum("nij,nik->njk", a, b))
+            s[:, -1] *= np.sign(np.linalg.det(u) * np.linalg.det(vt))
+            rest = (a**2).sum((1, 2)) + (b**2).sum((1, 2)) - 2 * s.sum(1)
+            yield pd.DataFrame({"id": f.id, "direct_rmsd": direct, "fitted_rmsd": np.sqrt(np.maximum(rest, 0) / a.shape[1])})
+
+    joined = points.join(reference, "grp").where(F.size("xyz") == F.size("ref")).where(F.size("xyz") % 3 == 0).select("id", "xyz", "ref")
+    return joined.mapInPandas(run, "id string, direct_rmsd double, fitted_rmsd double")

@@ -11,11 +11,13 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _written: list[tuple[SparkSession, str]] = []
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -33,14 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_folder(spark).rstrip('/')}/scorelake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _stored[table] = path
+    return table
 
 
-def release(tables: list[DataFrame]) -> None:
-    """Delete tables that no later plan reads (files named by the plans of ``tables``)."""
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads, such as those of an earlier round."""
     for table in tables:
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if path := _stored.pop(table, None):
             _delete(table.sparkSession, path)
+            _written.remove((table.sparkSession, path))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

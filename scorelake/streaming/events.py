@@ -10,8 +10,12 @@ from scorelake.operators.scores import upsert
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files that arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """A stream of the Parquet files that arrive in a folder; a single file is a stream of its own."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    return reader.parquet(folder)
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, value: str, width: str, late: str) -> DataFrame:
@@ -35,3 +39,21 @@ def upsert_stream(stream: DataFrame, folder: str, key: list[str], version: str,
         upsert(before, batch, key, version).write.mode("overwrite").parquet(f"{folder}/v={number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def complete_counts(stream: DataFrame, time: str, key: str, width: str, folder: str, checkpoint: str) -> DataFrame:
+    """(window_start, key, n) over everything streamed so far; every batch writes the whole result anew, so a repeated batch does no harm."""
+    spark = stream.sparkSession
+    counted = stream.groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), key, "n")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    counted.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(folder)
+
+
+def latest_version(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The last version that ``upsert_stream`` wrote."""
+    versions = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/v=*")
+    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
