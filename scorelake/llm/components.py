@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.storage import materialize
+from scorelake.storage import materialize, release
 
 
 def _heads(vertex: Column, turn: int) -> Column:
@@ -32,6 +32,7 @@ def contract(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     for turn in range(max_rounds):
         if left.isEmpty():
             break
+        current = left
         u, v = _heads(F.col("u"), turn), _heads(F.col("v"), turn)
         pairs = left.select(F.when(u & ~v, F.struct(F.col("v").alias("vertex"), F.col("u").alias("parent"))).when(v & ~u, F.struct(F.col("u").alias("vertex"), F.col("v").alias("parent"))).alias("p"))
         mates = materialize(pairs.where("p IS NOT NULL").groupBy("p.vertex").agg(F.min("p.parent").alias("parent")), "mates")
@@ -42,6 +43,7 @@ def contract(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             left = left.join(renamed, end, "left").select(F.coalesce("parent", end).alias(end), other)
         left = left.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         left = materialize(left, "edges")
+        release(current)
     else:
         raise RuntimeError("the contraction didn't end")
     if not collapsed:
@@ -51,6 +53,7 @@ def contract(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         pointers = pointers.unionAll(more)
     for _ in range(max(1, (len(collapsed) - 1).bit_length())):
         ahead = pointers.select(F.col("vertex").alias("parent"), F.col("parent").alias("further"))
-        pointers = materialize(pointers.join(ahead, "parent", "left").select("vertex", F.coalesce("further", "parent").alias("parent")), "pointers")
+        last, pointers = pointers, materialize(pointers.join(ahead, "parent", "left").select("vertex", F.coalesce("further", "parent").alias("parent")), "pointers")
+        release(last)
     roots = pointers.select(F.col("parent").alias("vertex"), F.col("parent").alias("root")).distinct()
     return pointers.select("vertex", F.col("parent").alias("root")).unionAll(roots)
