@@ -29,6 +29,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Different fragments that a Python worker keeps encoded; beyond, it starts anew.
 KEPT_FRAGMENTS = 400_000
+#: Bytes that are cut and encoded at a time.
+WINDOW = 8 << 20
 
 
 def read_ranks(folder: str, vocabulary: str) -> dict[bytes, int]:
@@ -65,24 +67,8 @@ def _encoder(folder: str, vocabulary: str):
     return encoding, cut_table(list(ranks)), {}
 
 
-def fragments(data: np.ndarray, starts: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Offsets of the fragments of texts laid end to end; ``starts``: offsets of the texts."""
-    mark = np.zeros(len(data) + 1, bool)
-    mark[1:-1] = cut[data[:-1], data[1:]]
-    mark[starts] = True
-    return np.flatnonzero(mark)
-
-
-def encode_texts(texts: pa.StringArray, folder: str, vocabulary: str) -> pa.ListArray:
-    """Token ids of each text; empty lists for empty and null texts."""
-    encoding, cut, kept = _encoder(folder, vocabulary)
-    texts = texts.fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    if not len(texts) or offsets[0] == offsets[-1]:
-        return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1, np.int32)), pa.array([], pa.int32()))
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    starts = offsets - offsets[0]
-    bounds = fragments(data, starts, cut)
+def _encode_window(data: np.ndarray, bounds: np.ndarray, encoding, kept: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the fragments between ``bounds``, one after the other, and the number of ids in front of each bound."""
     pieces = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
     if len(kept) > KEPT_FRAGMENTS:
         kept.clear()
@@ -92,14 +78,49 @@ def encode_texts(texts: pa.StringArray, folder: str, vocabulary: str) -> pa.List
         if own is None:
             own = kept[piece] = np.array(encoding.encode_ordinary(piece.decode()), np.int32)
         ids.append(own)
-    sizes = np.array([len(x) for x in ids])
+    sizes = np.array([len(x) for x in ids], np.int64)
     flat, first = np.concatenate(ids), np.concatenate([[0], np.cumsum(sizes)[:-1]])
     which = pieces.indices.to_numpy()
     counts = sizes[which]
     ends = np.cumsum(counts)
-    take = np.arange(ends[-1]) + np.repeat(first[which] - (ends - counts), counts)
-    before = np.concatenate([[0], ends])
-    return pa.ListArray.from_arrays(pa.array(before[np.searchsorted(bounds, starts)].astype(np.int32)), pa.array(flat[take]))
+    return flat[np.arange(ends[-1]) + np.repeat(first[which] - (ends - counts), counts)], np.concatenate([[0], ends])
+
+
+def encode_texts(texts: pa.StringArray, folder: str, vocabulary: str) -> pa.ListArray:
+    """Token ids of each text; empty lists for empty and null texts.
+
+    The texts of a batch are one run of bytes, cut at the starts of texts and at forced boundaries
+    and taken in windows of bounded size, so neither many nor very long texts need much memory.
+    """
+    encoding, cut, kept = _encoder(folder, vocabulary)
+    texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    starts = offsets - offsets[0]
+    total = int(starts[-1])
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if total else np.zeros(0, np.uint8)
+    before, parts, done, lo = np.zeros(len(starts), np.int64), [], 0, 0
+    while lo < total:
+        size = WINDOW
+        while True:
+            hi = min(lo + size, total)
+            mark = np.zeros(hi - lo + 1, bool)
+            mark[0] = True
+            mark[1:-1] = cut[data[lo : hi - 1], data[lo + 1 : hi]]
+            i, j = np.searchsorted(starts, [lo, hi + 1])
+            mark[starts[i:j] - lo] = True
+            bounds = np.flatnonzero(mark)
+            if hi == total or len(bounds) > 1:
+                break
+            size *= 2  # no boundary so far
+        window = data[lo : lo + bounds[-1]]
+        ids, ahead = _encode_window(window, bounds, encoding, kept)
+        i, j = np.searchsorted(starts, [lo, lo + bounds[-1] + 1])
+        before[i:j] = done + ahead[np.searchsorted(bounds, starts[i:j] - lo)]
+        parts.append(ids)
+        done += len(ids)
+        lo += int(bounds[-1])
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(flat, pa.int32()))
 
 
 def encode(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

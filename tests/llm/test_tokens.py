@@ -35,6 +35,13 @@ def test_boundaries():
     assert [PLAIN.decode(i) for i in encoded(texts)] == texts
 
 
+def test_windows(monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW", 16)
+    texts = ["", "one two three, four five", None, "x" * 100, "\n\n\n", "Zwölf Boxkämpfer jagen Viktor.\nquer über den Sylter Deich", ""]
+    assert encoded(texts) == [PLAIN.encode_ordinary(t or "") for t in texts]
+    assert encoded([]) == [] and encoded([None, ""]) == [[], []]
+
+
 def test_query(spark):
     rows = [(1, "hello world", 9, "x"), (2, "", 9, "x"), (3, None, 9, "x"), (None, "x", 9, "x"), (5, "y " * 100000, 9, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int, __text2 string").drop("__text2")
