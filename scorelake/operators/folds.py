@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.operators.prefix import row_numbers, running_total
+from scorelake.operators.prefix import row_numbers, running_total, running_totals
 from scorelake.storage import materialize, release
 
 
@@ -22,10 +22,10 @@ def hash_folds(df: DataFrame, strata: list[str], key: str, folds: int, seed: str
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, train: float, validation: float, seed: str) -> DataFrame:
     """Adds split: the first round(n*train) of a stratum in hash order, then round(n*validation), then test."""
-    sizes = df.groupBy(*strata).agg(F.count("*").alias("__n"))
-    placed = row_numbers(df.withColumn("__draw", draw(seed, key)), strata, ["__draw", key], "__rank").join(sizes, strata)
-    a, b = F.floor(F.col("__n") * train + 0.5), F.floor(F.col("__n") * validation + 0.5)
-    split = F.when(F.col("__rank") <= a, "train").when(F.col("__rank") <= a + b, "validation").otherwise("test")
+    placed = running_totals(df.withColumn("__draw", draw(seed, key)), strata, ["__draw", key], {"__before": None}, totals=True)
+    n = F.col("__before_all")
+    a, b = F.floor(n * train + 0.5), F.floor(n * validation + 0.5)
+    split = F.when(F.col("__before") < a, "train").when(F.col("__before") < a + b, "validation").otherwise("test")
     return placed.select(*df.columns, split.alias("split"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from scorelake.storage import materialize
 
 
-def running_totals(df: DataFrame, groups: list[str], order: list[str], weights: dict[str, str | None]) -> DataFrame:
-    """Adds a column per entry of ``weights``: the sum of that column (of 1, if None) over the rows in front, within a group, in the given order.
+def running_totals(df: DataFrame, groups: list[str], order: list[str], weights: dict[str, str | None], totals: bool = False) -> DataFrame:
+    """Adds a column per entry of ``weights``: the sum of that column (of 1, if None) over the rows in front, within a group, in the given order; with ``totals`` also ``<name>_all``, the group's whole sum.
 
     Rows are range-partitioned by group and order, so a hot group is spread over many tasks. The
     sums of the partitions (one row per group and partition) give each partition its start; within
@@ -21,10 +21,10 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str], weights:
     parts = materialize(ranged.select("*", F.spark_partition_id().alias("__part"), *(v.alias(f"__w_{o}") for o, v in value.items())), "ranged")
     sums = parts.groupBy(*groups, "__part").agg(*(F.sum(f"__w_{o}").alias(f"__w_{o}") for o in value))
     before, inside = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.partitionBy(*groups).orderBy("__part"), Window.partitionBy(*groups, "__part").orderBy(*order)))
-    start = sums.select(*groups, "__part", *(F.coalesce(F.sum(f"__w_{o}").over(before), F.lit(0)).alias(f"__s_{o}") for o in value))
+    start = sums.select(*groups, "__part", *(F.coalesce(F.sum(f"__w_{o}").over(before), F.lit(0)).alias(f"__s_{o}") for o in value), *(F.sum(f"__w_{o}").over(Window.partitionBy(*groups)).alias(f"__t_{o}") for o in value))
     within = parts.select("*", *(F.coalesce(F.sum(f"__w_{o}").over(inside), F.lit(0)).alias(f"__i_{o}") for o in value))
     joined = within.alias("w").join(start.alias("s"), [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*groups, "__part"]])
-    return joined.select(*(F.col(f"w.{c}") for c in df.columns), *((F.col(f"w.__i_{o}") + F.col(f"s.__s_{o}")).alias(o) for o in value))
+    return joined.select(*(F.col(f"w.{c}") for c in df.columns), *((F.col(f"w.__i_{o}") + F.col(f"s.__s_{o}")).alias(o) for o in value), *(F.col(f"s.__t_{o}").alias(f"{o}_all") for o in value if totals))
 
 
 def running_total(df: DataFrame, groups: list[str], order: list[str], weight: str | None = None, out: str = "before") -> DataFrame:

@@ -19,9 +19,7 @@ def value_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     less + 1, the average rank less + (equal + 1) / 2, the share of values <= it (less + equal) / n.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("equal"))
-    below = running_total(counts, groups, [value], "equal", "less")
-    totals = counts.groupBy(*groups).agg(F.sum("equal").alias("n"))
-    return below.join(totals, groups) if groups else below.crossJoin(F.broadcast(totals))
+    return running_totals(counts, groups, [value], {"less": "equal"}, totals=True).withColumnRenamed("less_all", "n")
 
 
 def ranked(df: DataFrame, groups: list[str], value: str, tie: str) -> DataFrame:
@@ -43,10 +41,8 @@ def train_rank_transform(train: DataFrame, apply: DataFrame, groups: list[str],
     counts = train.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("equal"))
     probes = apply.where(F.col(value).isNotNull()).select(*groups, value).distinct()
     merged = probes.join(counts, [*groups, value], "full_outer")
-    below = running_total(merged, groups, [value], "equal", "less")
-    totals = counts.groupBy(*groups).agg(F.sum("equal").alias("n"))
-    table = below.join(totals, groups)
-    less, equal, n = F.col("less"), F.coalesce("equal", F.lit(0)), F.col("n")
+    table = running_totals(merged, groups, [value], {"less": "equal"}, totals=True)
+    less, equal, n = F.col("less"), F.coalesce("equal", F.lit(0)), F.nullif(F.col("less_all"), F.lit(0))
     table = table.select(*groups, value, ((less + equal / 2 + 0.5) / (n + 1)).alias("mid_rank"), ((less + equal) / n).alias("share_at_most"))
     return apply.join(table, [*groups, value], "left").select(*apply.columns, "mid_rank", "share_at_most")
 
@@ -65,10 +61,9 @@ def screening_metrics(df: DataFrame, groups: list[str], score: str, entity: str,
     missing. AUC counts ties as half; the others break them by id.
     """
     rows = df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
-    placed = running_totals(rows, groups, [score, entity], {"__r": None, "__hits": y})
-    totals = rows.groupBy(*groups).agg(F.count("*").alias("n"), F.sum(y).alias("p"))
+    slim = rows.select(*groups, score, entity, y)
+    full = running_totals(slim, groups, [score, entity], {"__r": None, "__hits": y}, totals=True).withColumnsRenamed({"__r_all": "n", "__hits_all": "p"})
     r, hits = F.col("__r") + 1, F.col("__hits") + F.col(y)
-    full = placed.join(totals, groups)
     cut = {f: F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(f))) for f in fractions}
     name = {f: "ef" + f"{f * 100:g}".replace(".", "_") for f in fractions}
     # Ties count by value: the mean position of the rows that share a score.
@@ -91,9 +86,8 @@ def screening_metrics(df: DataFrame, groups: list[str], score: str, entity: str,
 def top_rows(df: DataFrame, groups: list[str], score: str, entity: str, fraction: float) -> DataFrame:
     """The first max(1, ceil(n * fraction)) rows of each group by (score, id), with their position."""
     rows = df.where(F.col(score).isNotNull())
-    totals = rows.groupBy(*groups).agg(F.count("*").alias("__n"))
-    placed = running_total(rows, groups, [score, entity], None, "__before").join(totals, groups)
-    return placed.where(F.col("__before") < F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(fraction)))).select(*df.columns, (F.col("__before") + 1).alias("position"))
+    placed = running_totals(rows, groups, [score, entity], {"__before": None}, totals=True)
+    return placed.where(F.col("__before") < F.greatest(F.lit(1), F.ceil(F.col("__before_all") * F.lit(fraction)))).select(*df.columns, (F.col("__before") + 1).alias("position"))
 
 
 def best_groups(metrics: DataFrame, scope: list[str], order: list[Column], k: int) -> DataFrame:

@@ -58,10 +58,8 @@ def scope_summary(df: DataFrame, scope: str, keys: list[str], value: str, entity
 def histogram_thresholds(df: DataFrame, groups: list[str], value: str, densities: list[float]) -> DataFrame:
     """(group, density, threshold): the smallest value whose cumulative count reaches ceil(density * n); values are counted first."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__c"))
-    below = running_totals(counts, groups, [value], {"__below": "__c"})
-    totals = counts.groupBy(*groups).agg(F.sum("__c").alias("__n"))
-    wanted = below.join(totals, groups).withColumn("density", F.explode(F.array(*(F.lit(d) for d in densities))))
-    return wanted.where(F.col("__below") + F.col("__c") >= F.ceil(F.col("density") * F.col("__n"))).groupBy(*groups, "density").agg(F.min(value).alias("threshold"))
+    wanted = running_totals(counts, groups, [value], {"__below": "__c"}, totals=True).withColumn("density", F.explode(F.array(*(F.lit(d) for d in densities))))
+    return wanted.where(F.col("__below") + F.col("__c") >= F.ceil(F.col("density") * F.col("__below_all"))).groupBy(*groups, "density").agg(F.min(value).alias("threshold"))
 
 
 def regret(df: DataFrame, cell: list[str], method: str, value: str, reference: str) -> DataFrame:
