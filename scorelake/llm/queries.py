@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import mixing, selection, splits, tokens, truncation
+from scorelake.llm.sql import SQL
 from scorelake.sources.tables import table
 
 
@@ -55,5 +56,5 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.source_rates(truncation.score(table(spark, folder, "documents")))
 
 
+__all__ = ["QUERIES", "SQL"]
 QUERIES = {q.__name__: q for q in (p4_found, p4_subset, p5_found, p5_splits, p5_report, p6_ids, p7_mixture, p7_shares, p8_found, p8_rates)}
-SQL: dict[str, str] = {}
