@@ -117,3 +117,58 @@ def streamed_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     counted = events.complete_counts(stream, "ts", "event_type", "1 day", folder, f"{folder}-checkpoint")
     return counted.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query(
+    """WITH g AS (SELECT target_id, receptor_id, seed_id, avg(score) FILTER (y = 0) - avg(score) FILTER (y = 1) AS gap FROM labcells GROUP BY ALL), s AS (SELECT target_id, receptor_id, count(gap) AS replicates, avg(gap) AS m, stddev_pop(gap) AS sd, count(*) FILTER (gap > 0) * 1.0 / nullif(count(gap), 0) AS support FROM g GROUP BY ALL)
+ SELECT target_id, receptor_id, replicates, round(m, 8) AS mean_gap, round(sd, 8) AS deviation, round(support, 8) AS support, round(CASE WHEN support >= 0.6 THEN sign(m) * greatest(abs(m) - 0.5 * sd, 0) ELSE 0 END, 8) + 0.0 AS coefficient, round(CASE WHEN support >= 0.6 AND m - 0.25 * sd >= 0 THEN m - 0.25 * sd END, 8) AS lower_bound FROM s WHERE m IS NOT NULL""",
+    "labcells",
+)
+def stable_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """Per receptor over its replicates: the classes' score gap, soft-thresholded, and its lower bound where most replicates agree."""
+    from scorelake.operators.normalize import soft_threshold
+    from scorelake.plans.base import labelled_cells
+
+    side = lambda v: F.avg(F.when(F.col("y") == v, F.col("score")))
+    gaps = labelled_cells(spark, d).groupBy(*PAIR, "seed_id").agg((side(0) - side(1)).alias("gap"))
+    rows = gaps.groupBy(*PAIR).agg(F.count("gap").alias("replicates"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("deviation"), F.try_divide(F.count_if(F.col("gap") > 0), F.count("gap")).alias("support")).where("mean_gap IS NOT NULL")
+    m, sd, s = F.col("mean_gap"), F.col("deviation"), F.col("support")
+    low = m - 0.25 * sd
+    rows = rows.withColumn("coefficient", soft_threshold(m, sd, s, 0.5, 0.6)).withColumn("lower_bound", F.when((s >= 0.6) & (low >= 0), low))
+    return rows.withColumns({c: F.round(c, 8) for c in ("mean_gap", "deviation", "support", "coefficient", "lower_bound")})
+
+
+@query()
+def maxmin_conformers(spark: SparkSession, d: str) -> DataFrame:
+    """Per pool: three conformers, each the farthest from those before."""
+    from scorelake.plans.base import members
+
+    pairs = geometry.clean_pairs(table(spark, d, "conformer_distances"), "conformer_id_a", "conformer_id_b", "standardized_pocket_distance")
+    scoped = geometry.both_ways(pairs).join(members(spark, d).select(F.col("id").alias("a"), "pool_id"), "a")
+    return subsets.maxmin_path(scoped, ["pool_id"], 3)
+
+
+@query(
+    """WITH h AS (SELECT DISTINCT target_id, ligand_id, y FROM top), n AS (SELECT target_id, count(*) FILTER (y = 1) AS actives, count(*) AS entities FROM (SELECT DISTINCT target_id, ligand_id, y FROM lab) GROUP BY ALL), t AS (SELECT target_id, count(*) FILTER (y = 1) AS hit_actives, count(*) AS hits FROM h GROUP BY ALL)
+ SELECT target_id, entities, actives, hits, hit_actives, round(hit_actives * 1.0 / nullif(actives, 0), 9) AS recall, round((hit_actives * 1.0 / hits) / nullif(actives * 1.0 / entities, 0), 9) AS enrichment FROM n JOIN t USING (target_id)""",
+    "top",
+)
+def union_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per target: entities in the top tenth of any receptor, the share of actives among them and their enrichment."""
+    rows = labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y")
+    top = ranking.top_rows(rows, PAIR, "median_score", "ligand_id", 0.1)
+    whole = rows.select("target_id", "ligand_id", "y").distinct().groupBy("target_id").agg(F.count("*").alias("entities"), F.count_if(F.col("y") == 1).alias("actives"))
+    hit = top.select("target_id", "ligand_id", "y").distinct().groupBy("target_id").agg(F.count("*").alias("hits"), F.count_if(F.col("y") == 1).alias("hit_actives"))
+    recall = F.try_divide("hit_actives", "actives")
+    return whole.join(hit, "target_id").select("target_id", "entities", "actives", "hits", "hit_actives", recall.alias("recall"), F.try_divide(F.col("hit_actives") / F.col("hits"), F.try_divide("actives", "entities")).alias("enrichment"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, event_id, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOURS THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY user_id, k"""
+)
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a user no more than six hours apart, as sessions."""
+    rows = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    # A window of six hours ends before an event exactly six hours later; the microsecond lets that one in.
+    by = rows.groupBy("user_id", F.session_window("t", "6 hours 1 microsecond").alias("w"))
+    return by.agg(F.min("ts").alias("started"), F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")).drop("w")
