@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.storage import materialize
+
 
 def clean_pairs(pairs: DataFrame, a: str, b: str, distance: str) -> DataFrame:
     """(a, b, distance) with a < b, each pair once (its least distance); self pairs, nulls and NaN left out."""
@@ -59,8 +63,6 @@ def within_range(points: DataFrame, key: str, coordinates: list[str], cutoff: fl
 
 def successor_basins(pairs: DataFrame, quality: DataFrame, rounds: int = 30) -> DataFrame:
     """(id, successor, endpoint): every id goes to its nearest neighbour of strictly better (lower) quality; chains are followed by pointer doubling."""
-    from scorelake.storage import materialize
-
     q = quality.where("quality IS NOT NULL")
     steps = both_ways(pairs).join(q.select(F.col("id").alias("a"), F.col("quality").alias("qa")), "a").join(q.select(F.col("id").alias("b"), F.col("quality").alias("qb")), "b").where("qb < qa")
     best = steps.groupBy("a").agg(F.min(F.struct("distance", "b"))["b"].alias("successor"))
@@ -81,9 +83,6 @@ def superposed_rmsd(points: DataFrame, reference: DataFrame) -> DataFrame:
     ``points``: id, grp, xyz (flat list of coordinates); ``reference``: grp, ref. The rotation is a
     small singular value decomposition, done for all rows of an Arrow batch at once.
     """
-    import numpy as np
-    import pandas as pd
-
     def run(frames):
         for f in frames:
             if not len(f):

@@ -169,7 +169,6 @@ def reconcile(primary: DataFrame, mirror: DataFrame, key: list[Key], fields: lis
     each other and differ from any value. Columns that are neither key, field nor version are
     ignored. An empty side lacks every key of the other.
     """
-    spark = primary.sparkSession
     sides = [_canonical(df, key, fields, version) for df in (primary, mirror)]
     rows = max(1, primary.count(), mirror.count())
     buckets = 1 << max(0, (rows // bucket_rows).bit_length())
@@ -199,7 +198,6 @@ def reconcile(primary: DataFrame, mirror: DataFrame, key: list[Key], fields: lis
         differs.append(F.when(unequal, F.struct(F.lit("differs").alias("finding"), F.lit(f.name).alias("field_name"))))
     lone = lambda name: F.array(F.struct(F.lit(name).alias("finding"), F.lit("").alias("field_name")))
     cases = F.when(F.col("v1").isNull(), lone("missing_in_mirror")).when(F.col("v0").isNull(), lone("missing_in_primary")).otherwise(F.array_compact(F.array(*differs)))
-    assert spark is both.sparkSession
     return both.select(_spelled(key).alias("record_key"), F.explode(cases).alias("case")).select("record_key", "case.finding", "case.field_name")
 
 

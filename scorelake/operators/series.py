@@ -46,13 +46,9 @@ def reveal(cells: DataFrame, scope: list[str], entity: str, step: str, score: st
 
 def scope_summary(df: DataFrame, scope: str, keys: list[str], value: str, entity: str) -> DataFrame:
     """Every row counted for its own scope and for 'ALL' (grouping sets): rows, distinct entities, mean, share of failures."""
-    view = f"__scope_{abs(hash((scope, *keys, value)))}"
-    df.select(scope, *keys, value, entity).createOrReplaceTempView(view)
-    by = ", ".join(keys)
-    return df.sparkSession.sql(
-        f"SELECT CASE WHEN grouping({scope}) = 1 THEN 'ALL' ELSE {scope} END AS scope, {by}, count(*) AS row_count, count(DISTINCT {entity}) AS entities, avg({value}) AS mean_value"
-        f" FROM {view} GROUP BY GROUPING SETS (({by}), ({by}, {scope}))"
-    )
+    sets = df.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in (*keys, scope)]], *keys, scope)
+    rows = sets.agg(F.grouping(scope).alias("__all"), F.count("*").alias("row_count"), F.countDistinct(entity).alias("entities"), F.avg(value).alias("mean_value"))
+    return rows.select(F.when(F.col("__all") == 1, "ALL").otherwise(F.col(scope)).alias("scope"), *keys, "row_count", "entities", "mean_value")
 
 
 def histogram_thresholds(df: DataFrame, groups: list[str], value: str, densities: list[float]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import settled
 from scorelake.operators import folds, geometry, normalize, ranking, resampling, series, sets, subsets
-from scorelake.plans.base import cells, labelled, labelled_cells, members, query, summary
+from scorelake.plans.base import cells, labelled, labels, members, query, summary
 from scorelake.plans.score_queries import _SPLIT, _TOPSEED, screening_metrics_by_replicate, split_of
 from scorelake.sources.tables import table
 
@@ -92,15 +92,11 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT y, split_group_id, ligand_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, ligand_id) AS r FROM (SELECT y, split_group_id, arg_min(ligand_id, (sha256('panel|' || ligand_id), ligand_id)) AS ligand_id, min(sha256('panel|' || ligand_id)) AS h FROM labels GROUP BY ALL)) WHERE r <= 15", "labels")
 def panel_sample(spark: SparkSession, d: str) -> DataFrame:
-    from scorelake.plans.base import labels
-
     return folds.sample_per_stratum(labels(spark, d), ["y"], "split_group_id", "ligand_id", 15, "panel")
 
 
 @query("SELECT y, split_group_id, size, rows_before FROM (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY y ORDER BY h, split_group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rows_before FROM (SELECT y, split_group_id, count(*) AS size, sha256('fill|' || split_group_id) AS h FROM labels WHERE split_group_id IS NOT NULL GROUP BY ALL)) WHERE rows_before < 40", "labels")
 def budget_fill(spark: SparkSession, d: str) -> DataFrame:
-    from scorelake.plans.base import labels
-
     return folds.fill_by_groups(labels(spark, d).where("split_group_id IS NOT NULL"), ["y"], "split_group_id", 40, "fill")
 
 
@@ -111,8 +107,6 @@ def crossing_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT y, split_group_id, size, CAST(CASE WHEN (r - 1) // 5 % 2 = 0 THEN (r - 1) % 5 ELSE 4 - (r - 1) % 5 END AS INTEGER) AS fold FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY size DESC, split_group_id) AS r FROM (SELECT y, split_group_id, count(*) AS size FROM labels WHERE split_group_id IS NOT NULL GROUP BY ALL))", "labels")
 def balanced_folds(spark: SparkSession, d: str) -> DataFrame:
-    from scorelake.plans.base import labels
-
     return folds.balanced_group_folds(labels(spark, d).where("split_group_id IS NOT NULL"), ["y"], "split_group_id", 5)
 
 
@@ -356,5 +350,3 @@ def manifest_join(spark: SparkSession, d: str) -> DataFrame:
     rows = o.join(c, F.col("c_custkey") == F.col("o_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey")).join(r, F.col("r_regionkey") == F.col("n_regionkey"))
     return rows.groupBy("n_name", "r_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 
-
-assert labelled_cells

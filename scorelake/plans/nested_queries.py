@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import settled
 from scorelake.operators import folds, geometry, ranking, subsets
-from scorelake.plans.base import _metrics_sql, labelled, query
+from scorelake.operators.normalize import soft_threshold
+from scorelake.operators.prefix import row_numbers
+from scorelake.plans.base import _metrics_sql, labelled, labelled_cells, members, query
 from scorelake.plans.derived_queries import _SIX, _six
 from scorelake.sources.tables import table
 from scorelake.storage import scratch_folder
@@ -80,8 +82,6 @@ def single_against_ensemble(spark: SparkSession, d: str) -> DataFrame:
     counts = rows.groupBy(*PAIR).agg(F.count("*").alias("n"))
     one = ranking.best_groups(counts, ["target_id"], [F.desc("n"), F.asc("receptor_id")], 1).select("target_id", F.col("receptor_id").alias("one"))
     both = rows.join(one, "target_id").groupBy("target_id", "ligand_id", "y").agg(F.min(F.when(F.col("receptor_id") == F.col("one"), F.col("median_score"))).alias("single"), F.min("median_score").alias("pair")).where("single IS NOT NULL")
-    from scorelake.operators.prefix import row_numbers
-
     placed = row_numbers(row_numbers(both, ["target_id"], ["single", "ligand_id"], "rs"), ["target_id"], ["pair", "ligand_id"], "rp")
     shift = F.col("rs") - F.col("rp")
     return placed.groupBy("target_id", "y").agg(F.count("*").alias("n"), F.count_if(F.col("pair") < F.col("single")).alias("improved"), F.avg(shift).alias("mean_shift"), F.median(shift).alias("median_shift"))
@@ -126,9 +126,6 @@ def streamed_daily_counts(spark: SparkSession, d: str) -> DataFrame:
 )
 def stable_coefficients(spark: SparkSession, d: str) -> DataFrame:
     """Per receptor over its replicates: the classes' score gap, soft-thresholded, and its lower bound where most replicates agree."""
-    from scorelake.operators.normalize import soft_threshold
-    from scorelake.plans.base import labelled_cells
-
     side = lambda v: F.avg(F.when(F.col("y") == v, F.col("score")))
     gaps = labelled_cells(spark, d).groupBy(*PAIR, "seed_id").agg((side(0) - side(1)).alias("gap"))
     rows = gaps.groupBy(*PAIR).agg(F.count("gap").alias("replicates"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("deviation"), F.try_divide(F.count_if(F.col("gap") > 0), F.count("gap")).alias("support")).where("mean_gap IS NOT NULL")
@@ -141,8 +138,6 @@ def stable_coefficients(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def maxmin_conformers(spark: SparkSession, d: str) -> DataFrame:
     """Per pool: three conformers, each the farthest from those before."""
-    from scorelake.plans.base import members
-
     pairs = geometry.clean_pairs(table(spark, d, "conformer_distances"), "conformer_id_a", "conformer_id_b", "standardized_pocket_distance")
     scoped = geometry.both_ways(pairs).join(members(spark, d).select(F.col("id").alias("a"), "pool_id"), "a")
     return subsets.maxmin_path(scoped, ["pool_id"], 3)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import settled
 from scorelake.operators import ranking, scores, series
-from scorelake.plans.base import CTES, cells, labelled, labelled_cells, labels, query, summary
+from scorelake.plans.base import _metrics_sql, cells, labelled, labelled_cells, query, summary
 from scorelake.sources.tables import table
 
 PAIR = ["target_id", "receptor_id"]
@@ -151,8 +151,6 @@ def split_of(c: str):
 
 
 def _metrics_of(select: str, groups: str, score: str) -> str:
-    from scorelake.plans.base import _metrics_sql
-
     return f"WITH source AS ({select}) {_metrics_sql('source', groups, score)}"
 
 
@@ -245,5 +243,3 @@ def pair_complementarity(spark: SparkSession, d: str) -> DataFrame:
     pairs = a.join(b, ["target_id", "ligand_id"]).where("a < b").groupBy("target_id", "a", "b").agg(F.count("*").alias("common"), F.avg(F.least("sa", "sb")).alias("mean_least"), F.round(1 - F.abs(ranking.pearson(F.col("ra"), F.col("rb"))), 5).alias("complementarity"))
     return pairs.where("common >= 20")
 
-
-assert CTES and labels
