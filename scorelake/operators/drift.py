@@ -210,6 +210,53 @@ def typed_values(paths: DataFrame) -> DataFrame:
     return rows.withColumn("failed", F.col("raw_value").isNotNull() & (nothing | other_shape))
 
 
+def unified_paths(paths: DataFrame, events: DataFrame, most: int = 2000) -> DataFrame:
+    """``paths`` with renamed fields under one name: that of the group of names which most files use (ties: the smallest).
+
+    Names are grouped along the renamings in ``events`` and replaced at any level, so a renamed
+    object takes its fields along. Names that stand side by side in some file keep their own, as
+    merging them would lose a value. The names are a matter of the schema; more than ``most``
+    different renamings are an error.
+    """
+    pairs = events.where("change_kind = 'renamed'").select("old_path", "field_path").distinct().limit(most + 1).collect()
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} different renamings")
+    uses = {r.path: r.files for r in path_statistics(paths).groupBy("path").agg(F.sum("files").alias("files")).orderBy("path").limit(20 * most).collect()}
+    group: dict[str, str] = {}
+
+    def root(p: str) -> str:
+        while group.setdefault(p, p) != p:
+            p = group[p]
+        return p
+
+    for r in pairs:
+        group[root(r.old_path)] = root(r.field_path)
+    classes: dict[str, list[str]] = {}
+    for p in group:
+        classes.setdefault(root(p), []).append(p)
+    name = {p: min(own, key=lambda x: (-uses.get(x, 0), x)) for own in classes.values() for p in own}
+
+    def unified(path: str) -> str:
+        for _ in range(8):
+            at = len(path)
+            while at > 0 and name.get(path[:at], path[:at]) == path[:at]:
+                at = path.rfind(".", 0, at)
+            if at <= 0:
+                break
+            path = name[path[:at]] + path[at:]
+        return path
+
+    moved = [(p, unified(p)) for p in uses if unified(p) != p]
+    if not moved:
+        return paths
+    table = F.broadcast(paths.sparkSession.createDataFrame(moved, "path string, unified string"))  # at most 20 * most rows
+    named = paths.join(table, "path", "left").withColumn("unified", F.coalesce("unified", "path"))
+    leaves = named.where("type <> 'object'")
+    clash = leaves.groupBy("lineage_id", "file_id", "unified").agg(F.countDistinct("path").alias("n")).where("n > 1").select("unified").distinct().withColumn("clash", F.lit(True))
+    kept = named.join(clash, "unified", "left").withColumn("path", F.when(F.col("clash"), F.col("path")).otherwise(F.col("unified")))
+    return kept.select(*paths.columns)
+
+
 def consistent_table(paths: DataFrame, max_columns: int = 2000) -> DataFrame:
     """One row per file, one typed column per leaf path of any family, named by its path with '/' for '.'.
 

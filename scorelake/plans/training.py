@@ -18,7 +18,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.consistent_table(drift.path_rows(table(spark, folder, "stage_files")))
+    paths = drift.path_rows(table(spark, folder, "stage_files"))
+    return drift.consistent_table(drift.unified_paths(paths, drift.changes(paths)))
 
 
 def p2_path_statistics(spark: SparkSession, folder: str) -> DataFrame:

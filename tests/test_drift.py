@@ -56,3 +56,12 @@ def test_table_and_failed_casts(spark):
     failed = drift.typed_values(small).where("failed").select("file_id", "raw_value").collect()
     assert [(r.file_id, r.raw_value) for r in failed] == [(2, "x")]
     assert sorted(r.v for r in drift.consistent_table(small).collect() if r.v is not None) == [1.0, 2.5, 3.0, 4.0]
+
+
+def test_renamed_fields_share_a_column(spark):
+    paths = drift.path_rows(files(spark, [{"gate": {"chain": "A"}, "id": 1, "x": 5}, {"preflight": {"chain": "A"}, "meta": {"id": 1}, "x": 5}, {"preflight": {"chain": "B"}, "run": 1, "x": 5}, {"preflight": {"chain": "B"}, "run": 2, "y": 5}, {"preflight": {"chain": "B"}, "run": 3, "x": 6, "y": 7}]))
+    wide = drift.consistent_table(drift.unified_paths(paths, drift.changes(paths)))
+    assert set(wide.columns) == {"lineage_id", "file_id", "family", "preflight/chain", "run", "x", "y"}
+    rows = {r.file_id: r for r in wide.collect()}
+    assert [rows[i]["preflight/chain"] for i in range(5)] == ["A", "A", "B", "B", "B"] and [rows[i].run for i in range(5)] == [1, 1, 1, 2, 3]
+    assert [(rows[i].x, rows[i].y) for i in (3, 4)] == [(None, 5.0), (6.0, 7.0)]  # side by side in the last file
