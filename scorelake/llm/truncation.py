@@ -5,7 +5,8 @@ whether the text uses punctuation at all. From all texts of a source follow its
 (lengths, in characters or UTF-8 bytes, at which far more texts end than nearby), a log-normal length
 distribution fitted by maximum likelihood with the texts at a limit as right-censored, and for each
 text the posterior of being censored. Its log odds and the weight of the ending's evidence add up;
-a text is called cut where the sum is positive.
+a text is called cut where the sum is positive. Copies of a text count once in every statistic (lengths
+and shares: equal texts of a source; lines and words: equal cues), and all get its verdict.
 
 Endings: ``structure`` (the last cue has only its number or a time line, or an unfinished one),
 ``open`` (markup, bracket or song without its end), ``bare`` (no closing mark), ``trail`` (a dash or
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.storage import materialize
+from scorelake.storage import materialize, release
 
 #: Log odds that an ending adds.
 EVIDENCE = {"structure": 9.0, "open": 7.0, "bare": 6.0, "unknown_word": 7.0, "inner_word": 5.0, "unpunctuated": -2.0, "closing": -7.0, "trail": -6.0, "whole": -14.0, "blank": -30.0}
@@ -39,6 +41,8 @@ TRANSFER = -3.0
 LIMIT_TEXTS, LIMIT_EXCESS = 5, 12.0
 #: A closing line ends at least this many texts, and this share of the texts that end by a line with the same beginning.
 CLOSING_TEXTS, CLOSING_SHARE = 3, 0.2
+#: Beginnings up to so many letters are counted one by one; longer lines are compared within those that share so many.
+START = 200
 #: A word that ends less than one in so many cues ends none by habit.
 RARE = 50_000
 
@@ -129,8 +133,13 @@ def _skeleton(line: str) -> str:
     return _look("".join(c for c in re.sub(r"(?<![^\W\d])\d+(?![^\W\d])", "9", line) if c.isalnum()))
 
 
-def ending(text: str | None) -> tuple[str, str, bool, str, str, list[str], list[str]]:
-    """(kind, skeleton of the last line, text has punctuation, last word, last word of the line without version or name, words that end its other cues with a closing mark, words within cues of a text without punctuation)."""
+def _told(cues: list[list[str] | None]) -> bytes:
+    """128 bits of what cues say, without numbers, times and blocks between them."""
+    return md5("\n\n".join("\n".join(c) for c in cues if c).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
+def ending(text: str | None) -> tuple[str, str, bool, str, str, list[str], list[str], bytes]:
+    """(kind, skeleton of the last line, text has punctuation, last word, last word of the line without version or name, words that end its other cues with a closing mark, words within cues of a text without punctuation, hash of the cues before the last)."""
     body = (text or "").replace("\r\n", "\n").replace("\r", "\n").strip(_BLANK)
     blocks = [b.strip(_BLANK) for b in re.split(r"\n[ \t]*\n", body)]
     cues: list[list[str] | None] = []  # lines of a cue; None: a block that is no cue
@@ -141,7 +150,7 @@ def ending(text: str | None) -> tuple[str, str, bool, str, str, list[str], list[
     if not any(c is not None for c in cues):
         numbers = blocks[-1].split("\n")
         unfinished = len(numbers) > 1 and numbers[0].isdigit() and _PART_OF_TIME.match(numbers[-1])
-        return ("structure" if unfinished else "blank"), "", True, "", "", [], []
+        return ("structure" if unfinished else "blank"), "", True, "", "", [], [], _told([])
     spoken = [" ".join(c) for c in cues[:-1] if c]
     closed = [_closes(s) != "bare" for s in spoken]
     words = [c for s, c in zip(spoken, closed) if not _aside(s)]
@@ -151,11 +160,11 @@ def ending(text: str | None) -> tuple[str, str, bool, str, str, list[str], list[
     while cues[last] is None:
         lines = blocks[last].split("\n")
         if (lines[0].isdigit() and len(lines) <= 2 and all(_PART_OF_TIME.match(x) for x in lines[1:])) or (len(lines) == 1 and _PART_OF_TIME.match(lines[0])):
-            return "structure", "", punctuated, "", "", ends, []
+            return "structure", "", punctuated, "", "", ends, [], _told(cues[:last])
         last -= 1  # a footer behind the last cue
     final = cues[last]
     if not final:
-        return "structure", "", punctuated, "", "", ends, []
+        return "structure", "", punctuated, "", "", ends, [], _told(cues[:last])
     seen = _reread(" ".join(final))
     within = [_look(w) for s in spoken for w in re.findall(r"\w+", s.lower())[:-1]] if not punctuated else []
     stripped = _MARK.sub("", seen.rstrip(_BLANK))
@@ -169,34 +178,40 @@ def ending(text: str | None) -> tuple[str, str, bool, str, str, list[str], list[
     elif seen.count("♪") == 1 and seen.lstrip(_BLANK + "-").startswith("♪") and kind != "whole":
         kind = "open"
     line_word = _last_word(_base(seen))
-    return kind, _skeleton(seen), punctuated, _last_word(_MARK.sub("", _MARKUP.sub("", seen).rstrip(_BLANK))), "" if re.search(r"\d", line_word) else line_word, ends, within
+    return kind, _skeleton(seen), punctuated, _last_word(_MARK.sub("", _MARKUP.sub("", seen).rstrip(_BLANK))), "" if re.search(r"\d", line_word) else line_word, ends, within, _told(cues[:last])
 
 
 def text_facts(documents: DataFrame) -> DataFrame:
-    """Stored rows (doc_id, source, chars, bytes, kind, skeleton, punctuated, last_word, line_word, ends, within), see ``ending``."""
+    """Stored rows (row_id, doc_id, source, chars, bytes, text_hash, kind, skeleton, punctuated, last_word, line_word, ends, within, told), see ``ending``, with own (the first row of its text in its source) and first (the first row of all with its cues)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             facts = [ending(x) for x in b.column("text").to_pylist()]
-            kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+            kinds = [pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.binary()]
             columns = [pa.array([f[i] for f in facts], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "chars", "bytes")), *columns], names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *columns], names)
 
-    names = ["doc_id", "source", "chars", "bytes", "kind", "skeleton", "punctuated", "last_word", "line_word", "ends", "within"]
+    kept = ["row_id", "doc_id", "source", "chars", "bytes", "text_hash"]
+    names = [*kept, "kind", "skeleton", "punctuated", "last_word", "line_word", "ends", "within", "told"]
     source = F.coalesce(F.lower(F.btrim("source", F.lit(_BLANK))), F.lit(""))
     text = F.col("text").cast("string")
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.char_length(text), F.lit(0)).alias("chars"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes"), text.alias("text"))
-    schema = "doc_id long, source string, chars int, bytes int, kind string, skeleton string, punctuated boolean, last_word string, line_word string, ends array<string>, within array<string>"
-    return materialize(slim.mapInArrow(run, schema), "facts")
+    slim = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), F.coalesce(F.char_length(text), F.lit(0)).alias("chars"), F.coalesce(F.octet_length(text), F.lit(0)).alias("bytes"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("text_hash"), text.alias("text"))
+    schema = "row_id long, doc_id long, source string, chars int, bytes int, text_hash binary, kind string, skeleton string, punctuated boolean, last_word string, line_word string, ends array<string>, within array<string>, told binary"
+    read = materialize(slim.mapInArrow(run, schema), "read")
+    firsts = lambda keys, out: read.groupBy(*keys).agg(F.min(F.struct("doc_id", "row_id")).alias("f")).select("f.row_id", F.lit(True).alias(out))
+    marked = read.join(firsts(["source", "text_hash"], "own"), "row_id", "left").join(firsts(["told"], "first"), "row_id", "left")
+    facts = materialize(marked.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("own", "first")}), "facts")
+    release(read)
+    return facts
 
 
 def candidate_limits(facts: DataFrame) -> DataFrame:
     """Rows (source, unit, limit_at, texts, expected): lengths at which far more texts of a source end than at those around.
 
-    Byte limits take in up to 3 bytes less, as a character that doesn't fit is dropped whole.
+    Copies of a text in its source count once. Byte limits take in up to 3 bytes less, as a character that doesn't fit is dropped whole.
     """
     length = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
-    counts = facts.where("chars > 40").select("source", length.alias("l")).groupBy("source", "l.unit", "l.length").agg(F.count("*").alias("n"))
+    counts = facts.where("own AND chars > 40").select("source", length.alias("l")).groupBy("source", "l.unit", "l.length").agg(F.count("*").alias("n"))
     # Texts of similar length, by steps of a tenth: how many there are per unit of length.
     step = F.floor(F.log("length") / np.log(1.1))
     bands = counts.groupBy("source", "unit", step.alias("band")).agg(F.sum("n").alias("m"), F.max("n").alias("top"), F.count("*").alias("lengths"))
@@ -255,7 +270,7 @@ def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def length_models(placed: DataFrame) -> DataFrame:
     """Rows (source, mu, sd, texts): the maximum-likelihood log-normal of each source's lengths in characters."""
-    used = placed.where("chars > 0")
+    used = placed.where("own AND chars > 0")
     own = used.groupBy("source").agg(
         F.count_if(F.col("limit_at").isNull()).alias("n"),
         F.coalesce(F.sum(F.when(F.col("limit_at").isNull(), F.log("chars"))), F.lit(0.0)).alias("s"),
@@ -268,36 +283,42 @@ def length_models(placed: DataFrame) -> DataFrame:
 
 
 def closing_lines(facts: DataFrame) -> DataFrame:
-    """Rows (skeleton, closing_texts): lines without a closing mark by which texts end as a habit; ``facts`` of texts that fill no limit."""
-    keys = facts.where((F.col("kind") == "bare") & (F.col("skeleton") != "")).groupBy("skeleton").agg(F.count("*").alias("n"))
-    starts = keys.where("length(skeleton) <= 200").select(F.explode(F.sequence(F.lit(1), F.length("skeleton"))).alias("k"), "skeleton", "n")
+    """Rows (skeleton, closing_texts): lines without a closing mark by which different texts end as a habit; ``facts`` of texts that fill no limit."""
+    texts = facts.where((F.col("kind") == "bare") & (F.col("skeleton") != "")).select("skeleton", "told").distinct()
+    keys = materialize(texts.groupBy("skeleton").agg(F.count("*").alias("n")), "endings")
+    starts = keys.select(F.explode(F.sequence(F.lit(1), F.least(F.length("skeleton"), F.lit(START)))).alias("k"), "skeleton", "n")
     alike = starts.groupBy(F.substring("skeleton", F.lit(1), F.col("k")).alias("skeleton")).agg(F.sum("n").alias("alike"))
-    return keys.where(F.col("n") >= CLOSING_TEXTS).join(alike, "skeleton").where(F.col("n") >= CLOSING_SHARE * F.col("alike")).select("skeleton", F.col("n").alias("closing_texts"))
+    enough = keys.where(F.col("n") >= CLOSING_TEXTS)
+    long = F.length("skeleton") > START
+    others = keys.where(long).select(F.substring("skeleton", 1, START).alias("start"), F.col("skeleton").alias("other"), F.col("n").alias("m"))
+    longer = enough.where(long).withColumn("start", F.substring("skeleton", 1, START)).join(others, "start").where(F.startswith("other", "skeleton")).groupBy("skeleton", "n").agg(F.sum("m").alias("alike"))
+    judged = enough.where(~long).join(alike, "skeleton").unionByName(longer)
+    return judged.where(F.col("n") >= CLOSING_SHARE * F.col("alike")).select("skeleton", F.col("n").alias("closing_texts"))
 
 
 def score(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, source, chars, kind, limit_at, censored, log_odds, cut) of all documents.
 
-    Null, empty and blank texts are whole. Texts of any length are read whole; repeated documents
-    are judged one by one alike. A source is told apart without case and surrounding blanks; texts
+    Null, empty and blank texts are whole. Texts of any length are read whole; copies count once
+    in what texts are held against and are judged alike. A source is told apart without case and surrounding blanks; texts
     of a null source are held against the limits of all sources.
     """
     facts = text_facts(documents)
     limits = materialize(candidate_limits(facts), "limits")
     placed = at_limit(facts, limits)
     models = length_models(placed)
-    at = placed.where(F.col("limit_at").isNotNull()).groupBy("source", "limit_at").agg(F.count("*").alias("here"), F.avg((F.col("kind") == "trail").cast("double")).alias("trail_here"))
-    off = placed.where(F.col("limit_at").isNull() & (F.col("kind") != "blank")).groupBy("source").agg(F.avg((F.col("kind") == "trail").cast("double")).alias("trail_off"))
+    at = placed.where(F.col("own") & F.col("limit_at").isNotNull()).groupBy("source", "limit_at").agg(F.count("*").alias("here"), F.avg((F.col("kind") == "trail").cast("double")).alias("trail_here"))
+    off = placed.where(F.col("own") & F.col("limit_at").isNull() & (F.col("kind") != "blank")).groupBy("source").agg(F.avg((F.col("kind") == "trail").cast("double")).alias("trail_off"))
     # Censored texts are expected at the mass beyond the limit, others at the density there; a text is at the limit for either reason.
     z = (F.log("limit_at") - F.col("mu")) / F.col("sd")
     natural = F.col("texts") * F.exp(-z * z / 2) / (F.sqrt(F.lit(2 * np.pi)) * F.col("sd") * F.col("limit_at"))
     posterior = at.join(models, "source").join(off, "source", "left").select("source", "limit_at", F.greatest(F.lit(0.01), 1 - natural / F.greatest(F.col("here"), F.lit(1))).alias("censored"), F.log((F.col("trail_here") + 0.01) / (F.coalesce("trail_off", F.lit(0.0)) + 0.01)).alias("mark"))
     closing = closing_lines(placed.where(F.col("limit_at").isNull()))
-    one = lambda c, ends: facts.select(F.explode(c).alias("last_word"), F.lit(ends).alias("e"))
+    one = lambda c, ends: facts.where("first").select(F.explode(c).alias("last_word"), F.lit(ends).alias("e"))
     words = one("ends", 1).unionAll(one("within", 0)).groupBy("last_word").agg(F.count("*").alias("uses"), F.sum("e").alias("ends"))
     words = materialize(words, "words")
     rare = max(1.0, (words.agg(F.sum("ends")).first()[0] or 0) / RARE)
-    rows = placed.drop("ends", "within").join(posterior, ["source", "limit_at"], "left").join(closing, "skeleton", "left").join(words, "last_word", "left")
+    rows = placed.drop("ends", "within", "first").join(posterior, ["source", "limit_at"], "left").join(closing, "skeleton", "left").join(words, "last_word", "left")
     rows = rows.join(words.select(F.col("last_word").alias("line_word"), F.col("ends").alias("line_ends")), "line_word", "left")
     bare = (
         F.when(F.col("closing_texts").isNotNull() & ((F.col("line_word") == "") | (F.coalesce("line_ends", F.lit(0)) < F.col("closing_texts"))), EVIDENCE["closing"])

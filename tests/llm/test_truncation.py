@@ -70,3 +70,23 @@ def test_found_and_rates(spark):
 
 def test_empty(spark):
     assert truncation.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_count_once(spark):
+    rng = random.Random(5)
+    base = [(i, cues(rng, rng.randint(3, 40)), "box", "k", "c") for i in range(300)]
+    cut = cues(rng, 12) + "\n99\n00:59:00,000 --> 00:59:01,000\nMilune, did you a"
+    trail = cues(rng, 15) + "\n99\n00:59:00,000 --> 00:59:01,000\nI told you to follow the river…\n"
+    copies = [(1000 + i, cut + (f"\n\n(archived {i})" if i % 3 == 0 else ""), "box", "k", "c") for i in range(10)]
+    whole = [(2000 + i, trail, "box", "k", "c") for i in range(50)]
+    scored = {r.doc_id: r for r in truncation.score(spark.createDataFrame(base + copies + whole, SCHEMA)).collect()}
+    assert len(scored) == 360
+    assert all(scored[r[0]].cut for r in copies)
+    assert not any(scored[r[0]].cut for r in whole)
+
+
+def test_long_closing_lines(spark):
+    credit, told = "subtitles" + "a" * 300, lambda i: i.to_bytes(4, "big")
+    rows = [("bare", credit, told(i)) for i in range(4)] + [("bare", credit + f"x{i}", told(100 + i)) for i in range(3)] + [("bare", "b" * 250, told(7)), ("bare", "c" * 50, told(1)), ("bare", "c" * 50, told(2)), ("bare", "c" * 50, told(3)), *(("bare", "c" * 300 + str(i), told(200 + i)) for i in range(20))]
+    found = truncation.closing_lines(spark.createDataFrame(rows, "kind string, skeleton string, told binary"))
+    assert {tuple(r) for r in found.collect()} == {(credit, 4)}
