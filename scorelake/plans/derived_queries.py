@@ -162,20 +162,19 @@ _COEF = f"""six AS ({_SIX}), rows AS (SELECT l.target_id, l.receptor_id, l.ligan
  sg AS (SELECT r.target_id, r.receptor_id, r.ligand_id, r.median_score < lin.mean AS low FROM rows r JOIN lin USING (target_id, receptor_id)), quad AS (SELECT x.target_id, x.receptor_id AS a, z.receptor_id AS b, round(avg(CASE WHEN x.low = z.low THEN 1.0 ELSE 0.0 END), 9) AS agreement, count(*) AS common FROM sg x JOIN sg z ON x.target_id = z.target_id AND x.ligand_id = z.ligand_id AND x.receptor_id < z.receptor_id GROUP BY ALL)"""
 
 
-def _six(spark: SparkSession, d: str) -> DataFrame:
-    counts = labelled(spark, d).groupBy(*PAIR).agg(F.count("*").alias("n"))
-    return ranking.best_groups(counts, ["target_id"], [F.desc("n"), F.asc("receptor_id")], 6).select(*PAIR)
+def _receptors(spark: SparkSession, d: str) -> DataFrame:
+    """Every receptor of a target with labelled scores; the SQL above names six of each target only."""
+    return labelled(spark, d).select(*PAIR).distinct()
 
 
 def _coefficients(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = labelled(spark, d).join(_six(spark, d), PAIR)
-    linear, pairs = subsets.coefficients(rows, ["target_id"], "receptor_id", "ligand_id", "median_score", "y")
+    linear, pairs = subsets.coefficients(labelled(spark, d), ["target_id"], "receptor_id", "ligand_id", "median_score", "y")
     return linear.withColumn("gap", settled("gap")), pairs.withColumn("agreement", settled("agreement"))
 
 
 @query(f"WITH six AS ({_SIX}) SELECT a.target_id, a.receptor_id AS m1, b.receptor_id AS m2, c.receptor_id AS m3, a.receptor_id || '+' || b.receptor_id || '+' || c.receptor_id AS subset FROM six a JOIN six b ON a.target_id = b.target_id AND a.receptor_id < b.receptor_id JOIN six c ON c.target_id = b.target_id AND b.receptor_id < c.receptor_id", "lab")
 def receptor_subsets(spark: SparkSession, d: str) -> DataFrame:
-    return subsets.enumerate_subsets(_six(spark, d), ["target_id"], "receptor_id", 3)
+    return subsets.enumerate_subsets(_receptors(spark, d), ["target_id"], "receptor_id", 3)
 
 
 @query(f"WITH {_COEF} SELECT target_id, receptor_id AS a, '' AS b, gap AS value FROM lin UNION ALL SELECT target_id, a, b, agreement FROM quad", "lab")
@@ -191,7 +190,7 @@ _ENERGY = """en AS (SELECT p.target_id, p.receptor_id || '+' || q.receptor_id ||
 @query(f"WITH {_COEF}, {_ENERGY} SELECT * FROM en", "lab")
 def subset_energies(spark: SparkSession, d: str) -> DataFrame:
     linear, pairs = _coefficients(spark, d)
-    picked = subsets.enumerate_subsets(_six(spark, d), ["target_id"], "receptor_id", 3)
+    picked = subsets.enumerate_subsets(_receptors(spark, d), ["target_id"], "receptor_id", 3)
     return subsets.subset_energy(picked, linear, pairs, ["target_id"], "receptor_id", 3, 0.5).withColumn("energy", settled("energy"))
 
 

@@ -12,9 +12,9 @@ from scorelake.operators import folds, geometry, ranking, subsets
 from scorelake.operators.normalize import soft_threshold
 from scorelake.operators.prefix import row_numbers
 from scorelake.plans.base import _metrics_sql, labelled, labelled_cells, members, query
-from scorelake.plans.derived_queries import _SIX, _six
+from scorelake.plans.derived_queries import _SIX, _receptors
 from scorelake.sources.tables import table
-from scorelake.storage import scratch_folder
+from scorelake.storage import materialize, scratch_folder
 from scorelake.streaming import events
 
 PAIR = ["target_id", "receptor_id"]
@@ -55,19 +55,28 @@ def group_objective(spark: SparkSession, d: str) -> DataFrame:
     """Per subset of three receptors: least and mean coverage of the actives of three series, decoy exposure, and the weighted objective."""
     rows = labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y")
     top = ranking.top_rows(rows, PAIR, "median_score", "ligand_id", 0.1)
-    picked = subsets.enumerate_subsets(_six(spark, d), ["target_id"], "receptor_id", 3)
-    member = picked.select("target_id", "subset", F.explode(F.array("m1", "m2", "m3")).alias("receptor_id"))
+    picked = subsets.enumerate_subsets(_receptors(spark, d), ["target_id"], "receptor_id", 3)
     series = F.conv(F.substring(F.sha2(F.concat(F.lit("series|"), F.col("ligand_id")), 256), 1, 12), 16, 10).cast("long") % 3
     classed = rows.select("target_id", "ligand_id", "y").distinct().withColumn("series", series)
-    # Hits are counted by (subset, class, series) and set against the sizes of those; subsets x entities are never built.
-    hits = member.join(top.select(*PAIR, "ligand_id"), PAIR).select("target_id", "subset", "ligand_id").distinct().join(classed, ["target_id", "ligand_id"])
-    counted = hits.groupBy("target_id", "subset", "y", "series").agg(F.count("*").alias("h"))
-    sizes = classed.groupBy("target_id", "y", "series").agg(F.count("*").alias("n"))
-    full = picked.select("target_id", "subset").join(sizes, "target_id").join(counted, ["target_id", "subset", "y", "series"], "left").withColumn("h", F.coalesce("h", F.lit(0)))
-    active = F.col("y") == 1
-    c = F.when(active, F.col("h") / F.col("n"))
-    exposure = F.try_divide(F.sum(F.when(~active, F.col("h"))), F.sum(F.when(~active, F.col("n"))))
-    out = full.groupBy("target_id", "subset").agg(F.min(c).alias("least_coverage"), F.avg(c).alias("mean_coverage"), exposure.alias("exposure"))
+    groups = [(y, n) for y in (0, 1) for n in range(3)]
+    by_group = lambda df, keys, out: df.groupBy("target_id", *keys).agg(*(F.count_if((F.col("y") == y) & (F.col("series") == n)).alias(f"{out}_{y}{n}") for y, n in groups))
+    # Entities that any of three receptors hits: hits of one, less those of two, plus those of all three; subsets x hits are never built.
+    hits = materialize(top.select(*PAIR, "ligand_id").join(classed, ["target_id", "ligand_id"]), "hits")
+    also = lambda m: hits.select("target_id", "ligand_id", F.col("receptor_id").alias(m))
+    first = hits.withColumnRenamed("receptor_id", "m1")
+    two = first.join(also("m2"), ["target_id", "ligand_id"]).where("m1 < m2")
+    three = two.join(also("m3"), ["target_id", "ligand_id"]).where("m2 < m3")
+    ones, twos = (materialize(by_group(df, keys, "c"), "common") for df, keys in ((first, ["m1"]), (two, ["m1", "m2"])))
+    terms = [(ones, [m], 1) for m in ("m1", "m2", "m3")] + [(twos, [a, b], -1) for a, b in (("m1", "m2"), ("m1", "m3"), ("m2", "m3"))] + [(by_group(three, ["m1", "m2", "m3"], "c"), ["m1", "m2", "m3"], 1)]
+    full = picked.join(by_group(classed, [], "n"), "target_id").withColumns({f"h_{y}{n}": F.lit(0).cast("long") for y, n in groups})
+    for counted, keys, sign in terms:
+        named = counted.select("target_id", *(F.col(f"m{k}").alias(m) for k, m in enumerate(keys, 1)), *(f"c_{y}{n}" for y, n in groups))
+        joined = full.join(named, ["target_id", *keys], "left")
+        full = joined.select(*(c for c in full.columns if not c.startswith("h_")), *((F.col(f"h_{y}{n}") + sign * F.coalesce(f"c_{y}{n}", F.lit(0))).alias(f"h_{y}{n}") for y, n in groups))
+    covered = F.filter(F.array(*(F.try_divide(f"h_1{n}", f"n_1{n}") for n in range(3))), lambda c: c.isNotNull())
+    mean = F.try_divide(F.aggregate(covered, F.lit(0.0), lambda a, c: a + c), F.size(covered))
+    exposure = F.try_divide(sum(F.col(f"h_0{n}") for n in range(3)), sum(F.col(f"n_0{n}") for n in range(3)))
+    out = full.select("target_id", "subset", F.array_min(covered).alias("least_coverage"), mean.alias("mean_coverage"), exposure.alias("exposure"))
     return out.where("least_coverage IS NOT NULL").withColumn("objective", 0.4 * F.col("least_coverage") + 0.3 * F.col("mean_coverage") - 0.2 * F.col("exposure"))
 
 
