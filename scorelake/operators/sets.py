@@ -31,10 +31,12 @@ def coverage(hits: DataFrame, labels: DataFrame, scope: list[str], owner: str) -
     return own.join(whole, scope).select(*scope, owner, "hit_actives", "hit_decoys", F.try_divide("hit_actives", "actives").alias("reward"), F.try_divide("hit_decoys", "decoys").alias("exposure"))
 
 
-def replicate_consensus(hits: DataFrame, key: list[str], replicate: str, replicates: int) -> DataFrame:
-    """Per key: in how many replicates it is hit, and whether in any, most or all of them."""
+def replicate_consensus(hits: DataFrame, scope: list[str], entity: str, replicate: str) -> DataFrame:
+    """Per scope and entity: in how many replicates it is hit, and whether in most or all of those that the scope has (each has hits)."""
     n = F.countDistinct(replicate)
-    return hits.groupBy(*key).agg(n.alias("hits")).select(*key, "hits", (F.col("hits") * 2 > replicates).alias("majority"), (F.col("hits") == replicates).alias("every"))
+    there = hits.groupBy(*scope).agg(n.alias("__replicates"))
+    each = hits.groupBy(*scope, entity).agg(n.alias("hits")).join(there, scope)
+    return each.select(*scope, entity, "hits", (F.col("hits") * 2 > F.col("__replicates")).alias("majority"), (F.col("hits") == F.col("__replicates")).alias("every"))
 
 
 def inclusion(subsets: DataFrame, scope: list[str], run: str, member: str, minimum: float) -> DataFrame:

@@ -10,6 +10,7 @@ from scorelake.operators import folds, geometry, normalize, ranking, resampling,
 from scorelake.plans.base import cells, labelled, labels, members, query, summary
 from scorelake.plans.score_queries import _SPLIT, _TOPSEED, screening_metrics_by_replicate, split_of
 from scorelake.sources.tables import table
+from scorelake.storage import materialize
 
 PAIR = ["target_id", "receptor_id"]
 
@@ -34,8 +35,8 @@ def coverage_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH t AS ({_TOPSEED}) SELECT target_id, receptor_id, ligand_id, count(DISTINCT seed_id) AS hits, count(DISTINCT seed_id) * 2 > 3 AS majority, count(DISTINCT seed_id) = 3 AS every FROM t WHERE seed_id IN ('s11', 's23', 's37') GROUP BY ALL", "cells")
 def seed_consensus(spark: SparkSession, d: str) -> DataFrame:
-    hits = ranking.top_rows(cells(spark, d).where(F.col("seed_id").isin("s11", "s23", "s37")), [*PAIR, "seed_id"], "score", "ligand_id", 0.1)
-    return sets.replicate_consensus(hits, [*PAIR, "ligand_id"], "seed_id", 3)
+    hits = materialize(ranking.top_rows(cells(spark, d), [*PAIR, "seed_id"], "score", "ligand_id", 0.1), "hits")
+    return sets.replicate_consensus(hits, PAIR, "ligand_id", "seed_id")
 
 
 @query("WITH b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, seed_id ORDER BY roc_auc DESC NULLS LAST, receptor_id) AS k FROM seedmetrics) WHERE k <= 5), r AS (SELECT target_id, count(DISTINCT seed_id) AS runs FROM b GROUP BY ALL) SELECT target_id, receptor_id, count(DISTINCT seed_id) AS held, round(count(DISTINCT seed_id) * 1.0 / any_value(runs), 9) AS frequency, count(DISTINCT seed_id) * 1.0 / any_value(runs) >= 0.5 - 1e-12 AS stable FROM b JOIN r USING (target_id) GROUP BY ALL", "seedmetrics")

@@ -64,17 +64,28 @@ def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
     return scores.completeness(cells(spark, d), table(spark, d, "ligands"), table(spark, d, "seed_scores"))
 
 
-_SEEDS = ["s11", "s23", "s37"]
+_SEEDS = ["s11", "s23", "s37"]  # of the SQL; the queries take the table's
+#: Columns that a matrix may have; beyond, its long form is the table to use.
+MOST_SEEDS = 1000
+
+
+def _seeds(spark: SparkSession, d: str) -> list[str]:
+    """The replicates of the table's cells, sorted."""
+    found = sorted(r[0] for r in cells(spark, d).where("seed_id IS NOT NULL").select("seed_id").distinct().limit(MOST_SEEDS + 1).collect())
+    if len(found) > MOST_SEEDS:
+        raise ValueError(f"more than {MOST_SEEDS} replicates for the columns of a matrix")
+    return found
 
 
 @query("SELECT target_id, ligand_id, receptor_id, " + ", ".join(f"min(score) FILTER (seed_id = '{s}') AS {s}" for s in _SEEDS) + " FROM cells GROUP BY ALL", "cells")
 def score_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return scores.score_matrix(cells(spark, d), ["target_id", "ligand_id", "receptor_id"], "seed_id", _SEEDS)
+    """One column per replicate of the table."""
+    return scores.score_matrix(cells(spark, d), ["target_id", "ligand_id", "receptor_id"], "seed_id", _seeds(spark, d))
 
 
 @query("SELECT target_id, ligand_id, receptor_id, seed_id, score FROM cells WHERE seed_id IN ('s11', 's23', 's37')", "cells")
 def matrix_to_long(spark: SparkSession, d: str) -> DataFrame:
-    wide = scores.score_matrix(cells(spark, d), ["target_id", "ligand_id", "receptor_id"], "seed_id", _SEEDS)
+    wide = scores.score_matrix(cells(spark, d), ["target_id", "ligand_id", "receptor_id"], "seed_id", _seeds(spark, d))
     return scores.long_form(wide, ["target_id", "ligand_id", "receptor_id"], "seed_id")
 
 

@@ -58,3 +58,16 @@ def test_greedy_over_all_receptors(spark, folder):
     assert {(r.target_id, r.step, r.receptor_id) for r in entry.queries()["greedy_subset"](spark, folder).collect()} == want
     subsets = entry.queries()["exact_subset"](spark, folder).collect()
     assert {r.target_id: r.states for r in subsets} == {t: sum(1 for _ in combinations(g, 3)) for t, g in value.items() if len(g) > 2}
+
+
+def test_every_seed(spark, folder, db):
+    cells = base.SQL["score_cells"]
+    seeds = [r[0] for r in db.execute(f"SELECT DISTINCT seed_id FROM ({cells}) ORDER BY 1").fetchall()]
+    assert len(seeds) > 3
+    same(spark, folder, db, "score_matrix", f"SELECT target_id, ligand_id, receptor_id, {', '.join(f"min(score) FILTER (seed_id = '{x}') AS {x}" for x in seeds)} FROM ({cells}) GROUP BY ALL")
+    same(spark, folder, db, "matrix_to_long", cells)
+
+
+def test_consensus_over_the_replicates_there_are(spark, folder, db):
+    top = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, receptor_id, seed_id ORDER BY score, ligand_id) AS r, count(*) OVER (PARTITION BY target_id, receptor_id, seed_id) AS n FROM ({base.SQL['score_cells']})) WHERE r <= greatest(1, ceil(n * CAST(0.1 AS DOUBLE)))"
+    same(spark, folder, db, "seed_consensus", f"WITH t AS ({top}), w AS (SELECT target_id, receptor_id, count(DISTINCT seed_id) AS k FROM t GROUP BY ALL) SELECT target_id, receptor_id, ligand_id, count(DISTINCT seed_id) AS hits, count(DISTINCT seed_id) * 2 > any_value(k) AS majority, count(DISTINCT seed_id) = any_value(k) AS every FROM t JOIN w USING (target_id, receptor_id) GROUP BY ALL")
