@@ -89,5 +89,5 @@ def marginal_stop(profile: DataFrame, scope: list[str], fold: str, k: str, value
     """Per step k: mean paired gain over k-1, its standard error, and whether all steps so far keep mean - error > 0."""
     before = profile.select(*scope, fold, (F.col(k) + 1).alias(k), F.col(value).alias("__before"))
     gains = profile.join(before, [*scope, fold, k]).groupBy(*scope, k).agg(F.avg(F.col(value) - F.col("__before")).alias("mean_gain"), F.coalesce(F.stddev_samp(F.col(value) - F.col("__before")) / F.sqrt(F.count("*")), F.lit(0.0)).alias("error"))
-    along = Window.partitionBy(*scope).orderBy(k).rowsBetween(Window.unboundedPreceding, 0)  # a handful of steps per scope
+    along = Window.partitionBy(*scope).orderBy(k).rowsBetween(Window.unboundedPreceding, 0)  # a step per scorer of the scope
     return gains.withColumn("go_on", F.bool_and(F.col("mean_gain") - F.col("error") > 0).over(along))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import settled
 from scorelake.operators import folds, geometry, normalize, ranking, resampling, series, sets, subsets
+from scorelake.operators.prefix import running_totals
 from scorelake.plans.base import cells, labelled, labels, members, query, summary
 from scorelake.plans.score_queries import _SPLIT, _TOPSEED, screening_metrics_by_replicate, split_of
 from scorelake.sources.tables import table
@@ -134,7 +135,7 @@ _W += " ELSE 8 END"
     "lab",
 )
 def bootstrap_gap(spark: SparkSession, d: str) -> DataFrame:
-    return resampling.bootstrap_gap(labelled(spark, d), ["target_id"], "ligand_id", "y", "median_score", 50, "boot")
+    return resampling.bootstrap_gap(labelled(spark, d), ["target_id"], "ligand_id", "y", "median_score", 200, "boot")
 
 
 @query(
@@ -209,12 +210,11 @@ def greedy_subset(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT target_id, fold, k, round(value, 9) AS value FROM profile", "profile")
 def size_profile(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = screening_metrics_by_replicate(spark, d).where("roc_auc IS NOT NULL").withColumn("roc_auc", settled("roc_auc"))
-    best = ranking.best_groups(rows, ["target_id", "seed_id"], [F.desc("roc_auc"), F.asc("receptor_id")], 5)
-    along = Window.partitionBy("target_id", "seed_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # five rows
-    return best.select("target_id", F.col("seed_id").alias("fold"), F.col("rank").alias("k"), settled(F.avg("roc_auc").over(along)).alias("value"))
+    """Per target and replicate: the mean of its k best receptors, for every k."""
+    rows = screening_metrics_by_replicate(spark, d).where("roc_auc IS NOT NULL").select("target_id", "seed_id", "receptor_id", settled("roc_auc").alias("roc_auc")).withColumn("loss", -F.col("roc_auc"))
+    along = running_totals(rows, ["target_id", "seed_id"], ["loss", "receptor_id"], {"before": None, "total": "roc_auc"})
+    k = F.col("before") + 1
+    return along.select("target_id", F.col("seed_id").alias("fold"), k.cast("int").alias("k"), settled((F.col("total") + F.col("roc_auc")) / k).alias("value"))
 
 
 @query("WITH e AS (SELECT target_id, k, round(avg(round(value, 9)), 8) AS mean, round(coalesce(stddev_samp(round(value, 9)) / sqrt(count(*)), 0), 8) AS error FROM profile GROUP BY ALL), b AS (SELECT target_id, arg_max(struct_pack(m := mean, s := error), (mean, -k)) AS b FROM e GROUP BY ALL) SELECT target_id, min(k) AS chosen_k FROM e JOIN b USING (target_id) WHERE mean >= b.m - b.s - 1e-7 GROUP BY ALL", "profile")

@@ -146,10 +146,11 @@ def stable_coefficients(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def maxmin_conformers(spark: SparkSession, d: str) -> DataFrame:
-    """Per pool: three conformers, each the farthest from those before."""
+    """Per pool: conformers, each the farthest from those before, as many as the largest request asks for; a request of n takes the first n."""
+    most = table(spark, d, "selection_requests").agg(F.max("subset_size")).first()[0] or 0
     pairs = geometry.clean_pairs(table(spark, d, "conformer_distances"), "conformer_id_a", "conformer_id_b", "standardized_pocket_distance")
     scoped = geometry.both_ways(pairs).join(members(spark, d).select(F.col("id").alias("a"), "pool_id"), "a")
-    return subsets.maxmin_path(scoped, ["pool_id"], 3)
+    return subsets.maxmin_path(scoped, ["pool_id"], most).where(F.col("step") <= most)
 
 
 @query(

@@ -71,3 +71,29 @@ def test_every_seed(spark, folder, db):
 def test_consensus_over_the_replicates_there_are(spark, folder, db):
     top = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, receptor_id, seed_id ORDER BY score, ligand_id) AS r, count(*) OVER (PARTITION BY target_id, receptor_id, seed_id) AS n FROM ({base.SQL['score_cells']})) WHERE r <= greatest(1, ceil(n * CAST(0.1 AS DOUBLE)))"
     same(spark, folder, db, "seed_consensus", f"WITH t AS ({top}), w AS (SELECT target_id, receptor_id, count(DISTINCT seed_id) AS k FROM t GROUP BY ALL) SELECT target_id, receptor_id, ligand_id, count(DISTINCT seed_id) AS hits, count(DISTINCT seed_id) * 2 > any_value(k) AS majority, count(DISTINCT seed_id) = any_value(k) AS every FROM t JOIN w USING (target_id, receptor_id) GROUP BY ALL")
+
+
+@pytest.mark.parametrize("name", ["size_profile", "one_standard_error", "marginal_stop"])
+def test_profile_of_every_size(spark, folder, db, name):
+    got = same(spark, folder, db, name, uncut(name, " WHERE k <= 5"))
+    assert name != "size_profile" or len(got) == db.execute(f"SELECT count(*) FROM ({base.SQL['screening_metrics_by_replicate']}) WHERE roc_auc IS NOT NULL").fetchone()[0]
+
+
+def test_bootstrap_of_200(spark, folder, db):
+    assert base.SQL["bootstrap_gap"].count("range(50)") == 1
+    same(spark, folder, db, "bootstrap_gap", base.SQL["bootstrap_gap"].replace("range(50)", "range(200)"))
+
+
+def test_maxmin_for_every_request(spark, folder, db):
+    near = db.execute(f"SELECT pool_id, a, b, distance FROM ({base.SQL['clean_pairs']}) JOIN ({base.CTES['members']}) ON id = a UNION ALL SELECT pool_id, b, a, distance FROM ({base.SQL['clean_pairs']}) JOIN ({base.CTES['members']}) ON id = b").fetchall()
+    pools, want = {}, set()
+    for pool, a, b, x in near:
+        pools.setdefault(pool, {}).setdefault(a, {})[b] = x
+    most = db.execute("SELECT max(subset_size) FROM selection_requests").fetchone()[0]
+    for pool, rows in pools.items():
+        chosen = [min(rows)]
+        while len(chosen) < most and (far := {a: min(b[c] for c in chosen if c in b) for a, b in rows.items() if a not in chosen and any(c in b for c in chosen)}):
+            chosen.append(min(far, key=lambda a: (-far[a], a)))
+        want |= {(pool, k, a) for k, a in enumerate(chosen, 1)}
+    got = {(r.pool_id, r.step, r.id) for r in entry.queries()["maxmin_conformers"](spark, folder).collect()}
+    assert got == want and max(k for _, k, _ in got) > 3
