@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.numbers import settled
+from scorelake.functions.text import folded, trimmed
 from scorelake.operators import folds, geometry, normalize, ranking, resampling, series, sets, subsets
 from scorelake.operators.prefix import running_totals
 from scorelake.plans.base import cells, labelled, labels, members, query, summary
@@ -114,7 +115,7 @@ def balanced_folds(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT ligand_id, k FROM (SELECT ligand_id, 'g' || split_group_id AS k FROM ligands UNION ALL SELECT ligand_id, 's' || scaffold_smiles FROM ligands WHERE length(scaffold_smiles) > 8) WHERE k IS NOT NULL), n AS (SELECT DISTINCT a.ligand_id AS a, b.ligand_id AS b FROM e a JOIN e b USING (k)), r AS (SELECT DISTINCT ligand_id, ligand_id AS g FROM ligands UNION SELECT n.b, r.g FROM r JOIN n ON n.a = r.ligand_id) SELECT ligand_id, min(g) AS group_key FROM r GROUP BY ALL")
 def scaffold_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "ligands").select("ligand_id", "split_group_id", F.when(F.length("scaffold_smiles") > 8, F.col("scaffold_smiles")).alias("scaffold"))
+    rows = table(spark, d, "ligands").select("ligand_id", "split_group_id", F.when(folded(F.col("scaffold_smiles")).isNotNull(), trimmed(F.col("scaffold_smiles"))).alias("scaffold"))
     return folds.linked_groups(rows, "ligand_id", ["split_group_id", "scaffold"])
 
 

@@ -97,3 +97,10 @@ def test_maxmin_for_every_request(spark, folder, db):
         want |= {(pool, k, a) for k, a in enumerate(chosen, 1)}
     got = {(r.pool_id, r.step, r.id) for r in entry.queries()["maxmin_conformers"](spark, folder).collect()}
     assert got == want and max(k for _, k, _ in got) > 3
+
+
+def test_short_scaffolds_link(spark, tmp_path):
+    rows = [("a", "g1", "c1ccccc1"), ("b", "g2", "c1ccccc1"), ("c", "g3", "Unspecified"), ("d", "g4", "Unspecified"), ("e", "g5", " N/A "), ("f", "g6", None), ("g", "g7", "C1CC1"), ("h", "g7", "N/A")]
+    spark.createDataFrame(rows, "ligand_id string, split_group_id string, scaffold_smiles string").write.parquet(str(tmp_path / "ligands.parquet"))
+    got = {r.ligand_id: r.group_key for r in entry.queries()["scaffold_groups"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f", "g": "g", "h": "g"}
