@@ -79,7 +79,7 @@ CTES = {
     "metrics": _metrics_sql("lab", "target_id, receptor_id", "median_score"),
     "seedmetrics": _metrics_sql("labcells", "target_id, receptor_id, seed_id", "score"),
     "top": "SELECT target_id, receptor_id, ligand_id, median_score, y, r AS position FROM (SELECT *, row_number() OVER (PARTITION BY target_id, receptor_id ORDER BY median_score, ligand_id) AS r, count(*) OVER (PARTITION BY target_id, receptor_id) AS n FROM lab) WHERE r <= greatest(1, ceil(n * CAST(0.1 AS DOUBLE)))",
-    "profile": "SELECT target_id, seed_id AS fold, CAST(k AS INTEGER) AS k, avg(roc_auc) OVER (PARTITION BY target_id, seed_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT *, row_number() OVER (PARTITION BY target_id, seed_id ORDER BY roc_auc DESC, receptor_id) AS k FROM seedmetrics WHERE roc_auc IS NOT NULL) WHERE k <= 5",
+    "profile": "SELECT target_id, seed_id AS fold, CAST(k AS INTEGER) AS k, avg(roc_auc) OVER (PARTITION BY target_id, seed_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT *, row_number() OVER (PARTITION BY target_id, seed_id ORDER BY roc_auc DESC, receptor_id) AS k FROM seedmetrics WHERE roc_auc IS NOT NULL)",
     "pairs": "SELECT least(conformer_id_a, conformer_id_b) AS a, greatest(conformer_id_a, conformer_id_b) AS b, min(standardized_pocket_distance) AS distance FROM conformer_distances WHERE conformer_id_a <> conformer_id_b AND standardized_pocket_distance IS NOT NULL AND NOT isnan(standardized_pocket_distance) GROUP BY ALL",
     "twoway": "SELECT a, b, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs",
     "members": "SELECT conformer_id AS id, min(pool_id || '/' || source_type) AS cluster, min(pool_id) AS pool_id, min(resolution_angstrom) AS quality FROM conformers GROUP BY ALL",

@@ -11,6 +11,7 @@ from scorelake.operators import folds, geometry, normalize, ranking, resampling,
 from scorelake.operators.prefix import running_totals
 from scorelake.plans.base import cells, labelled, labels, members, query, summary
 from scorelake.plans.score_queries import _SPLIT, _TOPSEED, screening_metrics_by_replicate, split_of
+from scorelake.plans.spelling import folded_sql, trim_sql
 from scorelake.sources.tables import table
 from scorelake.storage import materialize
 
@@ -35,7 +36,7 @@ def coverage_terms(spark: SparkSession, d: str) -> DataFrame:
     return sets.coverage(_top(spark, d), rows.select("target_id", "ligand_id", "y").distinct(), ["target_id"], "receptor_id")
 
 
-@query(f"WITH t AS ({_TOPSEED}) SELECT target_id, receptor_id, ligand_id, count(DISTINCT seed_id) AS hits, count(DISTINCT seed_id) * 2 > 3 AS majority, count(DISTINCT seed_id) = 3 AS every FROM t WHERE seed_id IN ('s11', 's23', 's37') GROUP BY ALL", "cells")
+@query(f"WITH t AS ({_TOPSEED}) SELECT target_id, receptor_id, ligand_id, count(DISTINCT seed_id) AS hits, count(DISTINCT seed_id) * 2 > any_value(k) AS majority, count(DISTINCT seed_id) = any_value(k) AS every FROM t JOIN (SELECT target_id, receptor_id, count(DISTINCT seed_id) AS k FROM t GROUP BY ALL) w USING (target_id, receptor_id) GROUP BY ALL", "cells")
 def seed_consensus(spark: SparkSession, d: str) -> DataFrame:
     hits = materialize(ranking.top_rows(cells(spark, d), [*PAIR, "seed_id"], "score", "ligand_id", 0.1), "hits")
     return sets.replicate_consensus(hits, PAIR, "ligand_id", "seed_id")
@@ -113,7 +114,7 @@ def balanced_folds(spark: SparkSession, d: str) -> DataFrame:
     return folds.balanced_group_folds(labels(spark, d).where("split_group_id IS NOT NULL"), ["y"], "split_group_id", 5)
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT ligand_id, k FROM (SELECT ligand_id, 'g' || split_group_id AS k FROM ligands UNION ALL SELECT ligand_id, 's' || scaffold_smiles FROM ligands WHERE length(scaffold_smiles) > 8) WHERE k IS NOT NULL), n AS (SELECT DISTINCT a.ligand_id AS a, b.ligand_id AS b FROM e a JOIN e b USING (k)), r AS (SELECT DISTINCT ligand_id, ligand_id AS g FROM ligands UNION SELECT n.b, r.g FROM r JOIN n ON n.a = r.ligand_id) SELECT ligand_id, min(g) AS group_key FROM r GROUP BY ALL")
+@query(f"WITH RECURSIVE e AS (SELECT DISTINCT ligand_id, k FROM (SELECT ligand_id, 'g' || split_group_id AS k FROM ligands UNION ALL SELECT ligand_id, 's' || {trim_sql('scaffold_smiles')} FROM ligands WHERE {folded_sql('scaffold_smiles')} IS NOT NULL) WHERE k IS NOT NULL), n AS (SELECT DISTINCT a.ligand_id AS a, b.ligand_id AS b FROM e a JOIN e b USING (k)), r AS (SELECT DISTINCT ligand_id, ligand_id AS g FROM ligands UNION SELECT n.b, r.g FROM r JOIN n ON n.a = r.ligand_id) SELECT ligand_id, min(g) AS group_key FROM r GROUP BY ALL")
 def scaffold_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "ligands").select("ligand_id", "split_group_id", F.when(folded(F.col("scaffold_smiles")).isNotNull(), trimmed(F.col("scaffold_smiles"))).alias("scaffold"))
     return folds.linked_groups(rows, "ligand_id", ["split_group_id", "scaffold"])
@@ -131,7 +132,7 @@ _W += " ELSE 8 END"
 
 
 @query(
-    f"""WITH u AS (SELECT target_id, ligand_id, y, sum(median_score) AS s, count(*) AS n FROM lab GROUP BY ALL), x AS (SELECT *, {_W} AS w FROM (SELECT *, {_U.format("'boot|' || replicate || '|' || ligand_id")} AS u FROM u CROSS JOIN range(50) AS t(replicate))),
+    f"""WITH u AS (SELECT target_id, ligand_id, y, sum(median_score) AS s, count(*) AS n FROM lab GROUP BY ALL), x AS (SELECT *, {_W} AS w FROM (SELECT *, {_U.format("'boot|' || replicate || '|' || ligand_id")} AS u FROM u CROSS JOIN range(200) AS t(replicate))),
  g AS (SELECT target_id, replicate, sum(w * s) FILTER (y = 0) / nullif(sum(w * n) FILTER (y = 0), 0) - sum(w * s) FILTER (y = 1) / nullif(sum(w * n) FILTER (y = 1), 0) AS gap FROM x GROUP BY ALL) SELECT target_id, count(gap) AS valid, round(avg(gap), 9) AS mean_gap, round(quantile_cont(gap, 0.025), 9) AS low, round(quantile_cont(gap, 0.975), 9) AS high FROM g GROUP BY ALL""",
     "lab",
 )
@@ -160,13 +161,13 @@ def permutation_test(spark: SparkSession, d: str) -> DataFrame:
 
 # Subsets
 
-_SIX = "SELECT target_id, receptor_id FROM (SELECT target_id, receptor_id, row_number() OVER (PARTITION BY target_id ORDER BY n DESC, receptor_id) AS k FROM (SELECT target_id, receptor_id, count(*) AS n FROM lab GROUP BY ALL)) WHERE k <= 6"
-_COEF = f"""six AS ({_SIX}), rows AS (SELECT l.target_id, l.receptor_id, l.ligand_id, l.median_score, l.y FROM lab l JOIN six USING (target_id, receptor_id)), lin AS (SELECT target_id, receptor_id, avg(median_score) AS mean, round(coalesce(avg(median_score) FILTER (y = 0) - avg(median_score) FILTER (y = 1), 0), 9) AS gap FROM rows GROUP BY ALL),
+_EVERY = "SELECT DISTINCT target_id, receptor_id FROM lab"
+_COEF = """rows AS (SELECT target_id, receptor_id, ligand_id, median_score, y FROM lab), lin AS (SELECT target_id, receptor_id, avg(median_score) AS mean, round(coalesce(avg(median_score) FILTER (y = 0) - avg(median_score) FILTER (y = 1), 0), 9) AS gap FROM rows GROUP BY ALL),
  sg AS (SELECT r.target_id, r.receptor_id, r.ligand_id, r.median_score < lin.mean AS low FROM rows r JOIN lin USING (target_id, receptor_id)), quad AS (SELECT x.target_id, x.receptor_id AS a, z.receptor_id AS b, round(avg(CASE WHEN x.low = z.low THEN 1.0 ELSE 0.0 END), 9) AS agreement, count(*) AS common FROM sg x JOIN sg z ON x.target_id = z.target_id AND x.ligand_id = z.ligand_id AND x.receptor_id < z.receptor_id GROUP BY ALL)"""
 
 
 def _receptors(spark: SparkSession, d: str) -> DataFrame:
-    """Every receptor of a target with labelled scores; the SQL above names six of each target only."""
+    """Every receptor of a target with labelled scores."""
     return labelled(spark, d).select(*PAIR).distinct()
 
 
@@ -175,7 +176,7 @@ def _coefficients(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return linear.withColumn("gap", settled("gap")), pairs.withColumn("agreement", settled("agreement"))
 
 
-@query(f"WITH six AS ({_SIX}) SELECT a.target_id, a.receptor_id AS m1, b.receptor_id AS m2, c.receptor_id AS m3, a.receptor_id || '+' || b.receptor_id || '+' || c.receptor_id AS subset FROM six a JOIN six b ON a.target_id = b.target_id AND a.receptor_id < b.receptor_id JOIN six c ON c.target_id = b.target_id AND b.receptor_id < c.receptor_id", "lab")
+@query(f"WITH every AS ({_EVERY}) SELECT a.target_id, a.receptor_id AS m1, b.receptor_id AS m2, c.receptor_id AS m3, a.receptor_id || '+' || b.receptor_id || '+' || c.receptor_id AS subset FROM every a JOIN every b ON a.target_id = b.target_id AND a.receptor_id < b.receptor_id JOIN every c ON c.target_id = b.target_id AND b.receptor_id < c.receptor_id", "lab")
 def receptor_subsets(spark: SparkSession, d: str) -> DataFrame:
     return subsets.enumerate_subsets(_receptors(spark, d), ["target_id"], "receptor_id", 3)
 

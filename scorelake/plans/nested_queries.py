@@ -12,7 +12,7 @@ from scorelake.operators import folds, geometry, ranking, subsets
 from scorelake.operators.normalize import soft_threshold
 from scorelake.operators.prefix import row_numbers
 from scorelake.plans.base import _metrics_sql, labelled, labelled_cells, members, query
-from scorelake.plans.derived_queries import _SIX, _receptors
+from scorelake.plans.derived_queries import _EVERY, _receptors
 from scorelake.sources.tables import table
 from scorelake.storage import materialize, scratch_folder
 from scorelake.streaming import events
@@ -44,7 +44,7 @@ def nested_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH six AS ({_SIX}), subs AS (SELECT a.target_id, a.receptor_id || '+' || b.receptor_id || '+' || c.receptor_id AS subset, [a.receptor_id, b.receptor_id, c.receptor_id] AS m FROM six a JOIN six b ON a.target_id = b.target_id AND a.receptor_id < b.receptor_id JOIN six c ON c.target_id = b.target_id AND b.receptor_id < c.receptor_id), mem AS (SELECT target_id, subset, unnest(m) AS receptor_id FROM subs),
+    f"""WITH every AS ({_EVERY}), subs AS (SELECT a.target_id, a.receptor_id || '+' || b.receptor_id || '+' || c.receptor_id AS subset, [a.receptor_id, b.receptor_id, c.receptor_id] AS m FROM every a JOIN every b ON a.target_id = b.target_id AND a.receptor_id < b.receptor_id JOIN every c ON c.target_id = b.target_id AND b.receptor_id < c.receptor_id), mem AS (SELECT target_id, subset, unnest(m) AS receptor_id FROM subs),
  hit AS (SELECT DISTINCT target_id, subset, ligand_id FROM mem JOIN top USING (target_id, receptor_id)), sc AS (SELECT DISTINCT target_id, ligand_id, y, CAST(CAST('0x' || substr(sha256('series|' || ligand_id), 1, 12) AS BIGINT) % 3 AS INTEGER) AS series FROM lab),
  cov AS (SELECT s.target_id, s.subset, sc.y, sc.series, count(hit.ligand_id) * 1.0 / count(*) AS c FROM subs s JOIN sc USING (target_id) LEFT JOIN hit ON hit.target_id = s.target_id AND hit.subset = s.subset AND hit.ligand_id = sc.ligand_id GROUP BY ALL),
  ex AS (SELECT s.target_id, s.subset, count(hit.ligand_id) * 1.0 / count(*) AS e FROM subs s JOIN (SELECT * FROM sc WHERE y = 0) sc USING (target_id) LEFT JOIN hit ON hit.target_id = s.target_id AND hit.subset = s.subset AND hit.ligand_id = sc.ligand_id GROUP BY ALL)

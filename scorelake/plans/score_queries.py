@@ -64,7 +64,7 @@ def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
     return scores.completeness(cells(spark, d), table(spark, d, "ligands"), table(spark, d, "seed_scores"))
 
 
-_SEEDS = ["s11", "s23", "s37"]  # of the SQL; the queries take the table's
+_SEEDS = ["s11", "s23", "s37", "s41", "s53", "s67"]  # SQL names its columns; the queries take them from the table
 #: Columns that a matrix may have; beyond, its long form is the table to use.
 MOST_SEEDS = 1000
 
@@ -83,7 +83,7 @@ def score_matrix(spark: SparkSession, d: str) -> DataFrame:
     return scores.score_matrix(cells(spark, d), ["target_id", "ligand_id", "receptor_id"], "seed_id", _seeds(spark, d))
 
 
-@query("SELECT target_id, ligand_id, receptor_id, seed_id, score FROM cells WHERE seed_id IN ('s11', 's23', 's37')", "cells")
+@query("SELECT target_id, ligand_id, receptor_id, seed_id, score FROM cells WHERE seed_id IS NOT NULL", "cells")
 def matrix_to_long(spark: SparkSession, d: str) -> DataFrame:
     wide = scores.score_matrix(cells(spark, d), ["target_id", "ligand_id", "receptor_id"], "seed_id", _seeds(spark, d))
     return scores.long_form(wide, ["target_id", "ligand_id", "receptor_id"], "seed_id")

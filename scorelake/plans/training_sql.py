@@ -2,32 +2,21 @@
 
 from __future__ import annotations
 
-from scorelake.functions.text import BLANKS, NO_VALUE
-
-_BLANKS = "concat(" + ", ".join(f"chr({ord(c)})" for c in BLANKS) + ")"
-_NONE = ", ".join("'" + x + "'" for x in NO_VALUE)
-
-
-def _trim(c: str) -> str:
-    return f"trim(CAST({c} AS VARCHAR), {_BLANKS})"
-
-
-def _folded(c: str) -> str:
-    return f"CASE WHEN lower({_trim(c)}) NOT IN ({_NONE}) THEN lower({_trim(c)}) END"
+from scorelake.plans.spelling import NONE_SQL, folded_sql, trim_sql
 
 
 def _number(c: str) -> str:
-    t = f"lower({_trim(c)})"
-    return f"CASE WHEN {t} NOT IN ({_NONE}) THEN TRY_CAST(replace({t}, ',', '.') AS DOUBLE) END"
+    t = f"lower({trim_sql(c)})"
+    return f"CASE WHEN {t} NOT IN ({NONE_SQL}) THEN TRY_CAST(replace({t}, ',', '.') AS DOUBLE) END"
 
 
 def _tail_lower(c: str) -> str:
-    tail = f"split_part(lower({_trim(c)}), '_', -1)"
-    return f"concat(upper(left({_trim(c)}, length({_trim(c)}) - length({tail}))), {tail})"
+    tail = f"split_part(lower({trim_sql(c)}), '_', -1)"
+    return f"concat(upper(left({trim_sql(c)}, length({trim_sql(c)}) - length({tail}))), {tail})"
 
 
 def _hex(c: str) -> str:
-    return f"nullif(regexp_replace({_folded(c)}, '^(?:[a-z]+-?[0-9]*\\s*[:=]|0x)\\s*', ''), '')"
+    return f"nullif(regexp_replace({folded_sql(c)}, '^(?:[a-z]+-?[0-9]*\\s*[:=]|0x)\\s*', ''), '')"
 
 
 def _dataset(name: str, table: str, key: str, fields: dict[str, tuple[str, bool]]) -> str:
@@ -51,15 +40,15 @@ def _dataset(name: str, table: str, key: str, fields: dict[str, tuple[str, bool]
 SCORES = _dataset(
     "scores",
     "seed_scores",
-    f"concat_ws('|', upper({_trim('target_id')}), lower({_trim('seed_id')}), upper({_trim('ligand_id')}), {_tail_lower('receptor_id')})",
-    {"gpu_score": (_number("gpu_score"), True), "status": (_folded("status"), False), "scored_at": ("scored_at", False)},
+    f"concat_ws('|', upper({trim_sql('target_id')}), lower({trim_sql('seed_id')}), upper({trim_sql('ligand_id')}), {_tail_lower('receptor_id')})",
+    {"gpu_score": (_number("gpu_score"), True), "status": (folded_sql("status"), False), "scored_at": ("scored_at", False)},
 )
 RECEPTORS = _dataset(
     "receptors",
     "receptors",
     _tail_lower("conformer_id"),
-    {"receptor_pdbqt_sha256": (_hex("receptor_pdbqt_sha256"), False), "chain": (_folded("chain"), False)}
+    {"receptor_pdbqt_sha256": (_hex("receptor_pdbqt_sha256"), False), "chain": (folded_sql("chain"), False)}
     | {f: (_number(f), True) for f in ("residue_count", "receptor_atom_count", "hydrogen_like_atom_count", "charge_min", "charge_max")}
-    | {"status": (_folded("status"), False), "validation_role": (_folded("validation_role"), False)},
+    | {"status": (folded_sql("status"), False), "validation_role": (folded_sql("validation_role"), False)},
 )
 SQL = {"p1_found": f"SELECT * FROM ({SCORES}) UNION ALL SELECT * FROM ({RECEPTORS})"}

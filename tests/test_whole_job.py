@@ -1,4 +1,4 @@
-"""Queries whose registered SQL states a smaller job, against that SQL without its cut, on the smallest tables."""
+"""Queries without a SQL counterpart, against brute force over whole tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ import pytest
 
 import __spark_entry__ as entry
 from scorelake.plans import base
-from test_oracle import table
 
 
 @pytest.fixture(scope="module")
@@ -21,25 +20,6 @@ def db(folder):
     return con
 
 
-def same(spark, folder, db, name, sql):
-    df = entry.queries()[name](spark, folder)
-    columns = sorted(df.columns)
-    got, want = table(df.select(*columns).collect()), table(db.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
-    assert len(got) == len(want)
-    assert all(x == pytest.approx(y, rel=1e-6, abs=2e-5) if isinstance(y, float) else x == y for a, b in zip(got, want) for x, y in zip(a, b))
-    return got
-
-
-def uncut(name, cut):
-    assert base.SQL[name].count(cut) == 1
-    return base.SQL[name].replace(cut, "")
-
-
-@pytest.mark.parametrize("name", ["receptor_subsets", "coefficient_table", "subset_energies", "exact_subset", "group_objective"])
-def test_all_receptors(spark, folder, db, name):
-    same(spark, folder, db, name, uncut(name, " WHERE k <= 6"))
-
-
 def test_greedy_over_all_receptors(spark, folder):
     value, pair = {}, {}
     for r in entry.queries()["coefficient_table"](spark, folder).collect():
@@ -60,30 +40,6 @@ def test_greedy_over_all_receptors(spark, folder):
     assert {r.target_id: r.states for r in subsets} == {t: sum(1 for _ in combinations(g, 3)) for t, g in value.items() if len(g) > 2}
 
 
-def test_every_seed(spark, folder, db):
-    cells = base.SQL["score_cells"]
-    seeds = [r[0] for r in db.execute(f"SELECT DISTINCT seed_id FROM ({cells}) ORDER BY 1").fetchall()]
-    assert len(seeds) > 3
-    same(spark, folder, db, "score_matrix", f"SELECT target_id, ligand_id, receptor_id, {', '.join(f"min(score) FILTER (seed_id = '{x}') AS {x}" for x in seeds)} FROM ({cells}) GROUP BY ALL")
-    same(spark, folder, db, "matrix_to_long", cells)
-
-
-def test_consensus_over_the_replicates_there_are(spark, folder, db):
-    top = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id, receptor_id, seed_id ORDER BY score, ligand_id) AS r, count(*) OVER (PARTITION BY target_id, receptor_id, seed_id) AS n FROM ({base.SQL['score_cells']})) WHERE r <= greatest(1, ceil(n * CAST(0.1 AS DOUBLE)))"
-    same(spark, folder, db, "seed_consensus", f"WITH t AS ({top}), w AS (SELECT target_id, receptor_id, count(DISTINCT seed_id) AS k FROM t GROUP BY ALL) SELECT target_id, receptor_id, ligand_id, count(DISTINCT seed_id) AS hits, count(DISTINCT seed_id) * 2 > any_value(k) AS majority, count(DISTINCT seed_id) = any_value(k) AS every FROM t JOIN w USING (target_id, receptor_id) GROUP BY ALL")
-
-
-@pytest.mark.parametrize("name", ["size_profile", "one_standard_error", "marginal_stop"])
-def test_profile_of_every_size(spark, folder, db, name):
-    got = same(spark, folder, db, name, uncut(name, " WHERE k <= 5"))
-    assert name != "size_profile" or len(got) == db.execute(f"SELECT count(*) FROM ({base.SQL['screening_metrics_by_replicate']}) WHERE roc_auc IS NOT NULL").fetchone()[0]
-
-
-def test_bootstrap_of_200(spark, folder, db):
-    assert base.SQL["bootstrap_gap"].count("range(50)") == 1
-    same(spark, folder, db, "bootstrap_gap", base.SQL["bootstrap_gap"].replace("range(50)", "range(200)"))
-
-
 def test_maxmin_for_every_request(spark, folder, db):
     near = db.execute(f"SELECT pool_id, a, b, distance FROM ({base.SQL['clean_pairs']}) JOIN ({base.CTES['members']}) ON id = a UNION ALL SELECT pool_id, b, a, distance FROM ({base.SQL['clean_pairs']}) JOIN ({base.CTES['members']}) ON id = b").fetchall()
     pools, want = {}, set()
