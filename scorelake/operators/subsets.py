@@ -14,9 +14,10 @@ from scorelake.storage import materialize
 
 def enumerate_subsets(members: DataFrame, scope: list[str], member: str, size: int) -> DataFrame:
     """All subsets of ``size`` members per scope, as m1 < m2 < ... and ``subset`` joined by '+'."""
-    out = members.select(*scope, F.col(member).alias("m1")).distinct()
+    once = materialize(members.select(*scope, member).distinct(), "members")
+    out = once.select(*scope, F.col(member).alias("m1"))
     for k in range(2, size + 1):
-        more = members.select(*scope, F.col(member).alias(f"m{k}")).distinct()
+        more = once.select(*scope, F.col(member).alias(f"m{k}"))
         out = out.join(more, scope).where(F.col(f"m{k - 1}") < F.col(f"m{k}"))
     return out.withColumn("subset", F.concat_ws("+", *(f"m{k}" for k in range(1, size + 1))))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.numbers import ASIDE, settled
 from scorelake.operators import scores
 from scorelake.sources.tables import table
+from scorelake.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,6 +104,11 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return summary(spark, folder).join(labels(spark, folder), "ligand_id")
 
 
+def stored_labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """``labelled`` for queries that read it more than once: target_id, receptor_id, ligand_id, median_score, y, aggregated once and stored."""
+    return materialize(labelled(spark, folder).select("target_id", "receptor_id", "ligand_id", "median_score", "y"), "labelled")
+
+
 def labelled_cells(spark: SparkSession, folder: str) -> DataFrame:
     return cells(spark, folder).join(labels(spark, folder), "ligand_id")
 

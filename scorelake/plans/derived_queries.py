@@ -9,7 +9,7 @@ from scorelake.functions.numbers import settled
 from scorelake.functions.text import folded, trimmed
 from scorelake.operators import folds, geometry, normalize, ranking, resampling, series, sets, subsets
 from scorelake.operators.prefix import running_totals
-from scorelake.plans.base import cells, labelled, labels, members, query, summary
+from scorelake.plans.base import cells, labelled, labels, members, query, stored_labelled, summary
 from scorelake.plans.score_queries import _SPLIT, _TOPSEED, screening_metrics_by_replicate, split_of
 from scorelake.plans.spelling import folded_sql, trim_sql
 from scorelake.sources.tables import table
@@ -18,8 +18,8 @@ from scorelake.storage import materialize
 PAIR = ["target_id", "receptor_id"]
 
 
-def _top(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.top_rows(labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y"), PAIR, "median_score", "ligand_id", 0.1)
+def _top(rows: DataFrame) -> DataFrame:
+    return ranking.top_rows(rows.select(*PAIR, "ligand_id", "median_score", "y"), PAIR, "median_score", "ligand_id", 0.1)
 
 
 # Sets
@@ -27,13 +27,13 @@ def _top(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT target_id, receptor_id, count(*) AS n FROM top GROUP BY ALL) SELECT target_id, a, b, sa.n AS size_a, sb.n AS size_b, common, sa.n + sb.n - common AS either, round(common * 1.0 / (sa.n + sb.n - common), 9) AS jaccard FROM (SELECT x.target_id, x.receptor_id AS a, z.receptor_id AS b, count(*) AS common FROM top x JOIN top z ON x.target_id = z.target_id AND x.ligand_id = z.ligand_id AND x.receptor_id < z.receptor_id GROUP BY ALL) JOIN s sa USING (target_id) JOIN s sb USING (target_id) WHERE sa.receptor_id = a AND sb.receptor_id = b", "top")
 def hit_set_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return sets.set_pairs(_top(spark, d), ["target_id"], "receptor_id", "ligand_id")
+    return sets.set_pairs(_top(labelled(spark, d)), ["target_id"], "receptor_id", "ligand_id")
 
 
 @query("WITH w AS (SELECT target_id, count(*) FILTER (y = 1) AS a, count(*) FILTER (y = 0) AS n FROM (SELECT DISTINCT target_id, ligand_id, y FROM lab) GROUP BY ALL) SELECT target_id, receptor_id, count(*) FILTER (y = 1) AS hit_actives, count(*) FILTER (y = 0) AS hit_decoys, round(count(*) FILTER (y = 1) * 1.0 / nullif(any_value(a), 0), 9) AS reward, round(count(*) FILTER (y = 0) * 1.0 / nullif(any_value(n), 0), 9) AS exposure FROM top JOIN w USING (target_id) GROUP BY ALL", "top")
 def coverage_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled(spark, d)
-    return sets.coverage(_top(spark, d), rows.select("target_id", "ligand_id", "y").distinct(), ["target_id"], "receptor_id")
+    rows = stored_labelled(spark, d)
+    return sets.coverage(_top(rows), rows.select("target_id", "ligand_id", "y").distinct(), ["target_id"], "receptor_id")
 
 
 @query(f"WITH t AS ({_TOPSEED}) SELECT target_id, receptor_id, ligand_id, count(DISTINCT seed_id) AS hits, count(DISTINCT seed_id) * 2 > any_value(k) AS majority, count(DISTINCT seed_id) = any_value(k) AS every FROM t JOIN (SELECT target_id, receptor_id, count(DISTINCT seed_id) AS k FROM t GROUP BY ALL) w USING (target_id, receptor_id) GROUP BY ALL", "cells")
@@ -166,19 +166,15 @@ _COEF = """rows AS (SELECT target_id, receptor_id, ligand_id, median_score, y FR
  sg AS (SELECT r.target_id, r.receptor_id, r.ligand_id, r.median_score < lin.mean AS low FROM rows r JOIN lin USING (target_id, receptor_id)), quad AS (SELECT x.target_id, x.receptor_id AS a, z.receptor_id AS b, round(avg(CASE WHEN x.low = z.low THEN 1.0 ELSE 0.0 END), 9) AS agreement, count(*) AS common FROM sg x JOIN sg z ON x.target_id = z.target_id AND x.ligand_id = z.ligand_id AND x.receptor_id < z.receptor_id GROUP BY ALL)"""
 
 
-def _receptors(spark: SparkSession, d: str) -> DataFrame:
-    """Every receptor of a target with labelled scores."""
-    return labelled(spark, d).select(*PAIR).distinct()
-
-
 def _coefficients(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    linear, pairs = subsets.coefficients(labelled(spark, d), ["target_id"], "receptor_id", "ligand_id", "median_score", "y")
-    return linear.withColumn("gap", settled("gap")), pairs.withColumn("agreement", settled("agreement"))
+    """Stored coefficients of every receptor and pair of receptors; small beside the scores they come from."""
+    linear, pairs = subsets.coefficients(stored_labelled(spark, d), ["target_id"], "receptor_id", "ligand_id", "median_score", "y")
+    return materialize(linear.withColumn("gap", settled("gap")), "linear"), materialize(pairs.withColumn("agreement", settled("agreement")), "pairs")
 
 
 @query(f"WITH every AS ({_EVERY}) SELECT a.target_id, a.receptor_id AS m1, b.receptor_id AS m2, c.receptor_id AS m3, a.receptor_id || '+' || b.receptor_id || '+' || c.receptor_id AS subset FROM every a JOIN every b ON a.target_id = b.target_id AND a.receptor_id < b.receptor_id JOIN every c ON c.target_id = b.target_id AND b.receptor_id < c.receptor_id", "lab")
 def receptor_subsets(spark: SparkSession, d: str) -> DataFrame:
-    return subsets.enumerate_subsets(_receptors(spark, d), ["target_id"], "receptor_id", 3)
+    return subsets.enumerate_subsets(labelled(spark, d).select(*PAIR), ["target_id"], "receptor_id", 3)
 
 
 @query(f"WITH {_COEF} SELECT target_id, receptor_id AS a, '' AS b, gap AS value FROM lin UNION ALL SELECT target_id, a, b, agreement FROM quad", "lab")
@@ -194,7 +190,7 @@ _ENERGY = """en AS (SELECT p.target_id, p.receptor_id || '+' || q.receptor_id ||
 @query(f"WITH {_COEF}, {_ENERGY} SELECT * FROM en", "lab")
 def subset_energies(spark: SparkSession, d: str) -> DataFrame:
     linear, pairs = _coefficients(spark, d)
-    picked = subsets.enumerate_subsets(_receptors(spark, d), ["target_id"], "receptor_id", 3)
+    picked = subsets.enumerate_subsets(linear, ["target_id"], "receptor_id", 3)
     return subsets.subset_energy(picked, linear, pairs, ["target_id"], "receptor_id", 3, 0.5).withColumn("energy", settled("energy"))
 
 

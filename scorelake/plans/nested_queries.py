@@ -11,8 +11,8 @@ from scorelake.functions.numbers import settled
 from scorelake.operators import folds, geometry, ranking, subsets
 from scorelake.operators.normalize import soft_threshold
 from scorelake.operators.prefix import row_numbers
-from scorelake.plans.base import _metrics_sql, labelled, labelled_cells, members, query
-from scorelake.plans.derived_queries import _EVERY, _receptors
+from scorelake.plans.base import _metrics_sql, labelled_cells, members, query, stored_labelled
+from scorelake.plans.derived_queries import _EVERY
 from scorelake.sources.tables import table
 from scorelake.storage import materialize, scratch_folder
 from scorelake.streaming import events
@@ -22,7 +22,7 @@ _FOLD = "f AS (SELECT target_id, ligand_id, CAST((row_number() OVER (PARTITION B
 
 
 def _folded(spark: SparkSession, d: str) -> DataFrame:
-    rows = labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y")
+    rows = stored_labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y")
     return rows.join(folds.hash_folds(rows.select("target_id", "ligand_id", "y").distinct(), ["target_id", "y"], "ligand_id", 5, "fold").drop("y"), ["target_id", "ligand_id"])
 
 
@@ -53,9 +53,9 @@ def nested_selection(spark: SparkSession, d: str) -> DataFrame:
 )
 def group_objective(spark: SparkSession, d: str) -> DataFrame:
     """Per subset of three receptors: least and mean coverage of the actives of three series, decoy exposure, and the weighted objective."""
-    rows = labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y")
+    rows = stored_labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y")
     top = ranking.top_rows(rows, PAIR, "median_score", "ligand_id", 0.1)
-    picked = subsets.enumerate_subsets(_receptors(spark, d), ["target_id"], "receptor_id", 3)
+    picked = subsets.enumerate_subsets(rows, ["target_id"], "receptor_id", 3)
     series = F.conv(F.substring(F.sha2(F.concat(F.lit("series|"), F.col("ligand_id")), 256), 1, 12), 16, 10).cast("long") % 3
     classed = rows.select("target_id", "ligand_id", "y").distinct().withColumn("series", series)
     groups = [(y, n) for y in (0, 1) for n in range(3)]
@@ -87,7 +87,7 @@ def group_objective(spark: SparkSession, d: str) -> DataFrame:
 )
 def single_against_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """Per target and class: how the rank of an entity shifts from the most used receptor alone to the least score over all receptors."""
-    rows = labelled(spark, d)
+    rows = stored_labelled(spark, d)
     counts = rows.groupBy(*PAIR).agg(F.count("*").alias("n"))
     one = ranking.best_groups(counts, ["target_id"], [F.desc("n"), F.asc("receptor_id")], 1).select("target_id", F.col("receptor_id").alias("one"))
     both = rows.join(one, "target_id").groupBy("target_id", "ligand_id", "y").agg(F.min(F.when(F.col("receptor_id") == F.col("one"), F.col("median_score"))).alias("single"), F.min("median_score").alias("pair")).where("single IS NOT NULL")
@@ -160,7 +160,7 @@ def maxmin_conformers(spark: SparkSession, d: str) -> DataFrame:
 )
 def union_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Per target: entities in the top tenth of any receptor, the share of actives among them and their enrichment."""
-    rows = labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y")
+    rows = stored_labelled(spark, d).select(*PAIR, "ligand_id", "median_score", "y")
     top = ranking.top_rows(rows, PAIR, "median_score", "ligand_id", 0.1)
     whole = rows.select("target_id", "ligand_id", "y").distinct().groupBy("target_id").agg(F.count("*").alias("entities"), F.count_if(F.col("y") == 1).alias("actives"))
     hit = top.select("target_id", "ligand_id", "y").distinct().groupBy("target_id").agg(F.count("*").alias("hits"), F.count_if(F.col("y") == 1).alias("hit_actives"))

@@ -51,4 +51,19 @@ RECEPTORS = _dataset(
     | {f: (_number(f), True) for f in ("residue_count", "receptor_atom_count", "hydrogen_like_atom_count", "charge_min", "charge_max")}
     | {"status": (folded_sql("status"), False), "validation_role": (folded_sql("validation_role"), False)},
 )
-SQL = {"p1_found": f"SELECT * FROM ({SCORES}) UNION ALL SELECT * FROM ({RECEPTORS})"}
+_MARKS = "concat(chr(65279), chr(8203), ' ', chr(9), chr(10), chr(13))"
+_TEXT = f"trim(json_extract_string(v, '$'), {_MARKS})"
+_PART = "struct_pack(v := {v}, path := {path}, element := {element}, owner := {owner}, field := {field}, ordinal := {ordinal})"
+_MEMBER = _PART.format(v="json_extract(v, '$.\"' || k || '\"')", path="CASE WHEN path = '' THEN k ELSE path || '.' || k END", element="element", owner="path", field="k", ordinal="CAST(NULL AS BIGINT)")
+_ELEMENT = _PART.format(v="json_extract(v, '$[' || i || ']')", path="path || '[' || i || ']'", element="path || '[' || i || ']'", owner="owner", field="field", ordinal="i")
+_OPENED = _PART.format(v=f"CAST({_TEXT} AS JSON)", path="path", element="element", owner="owner", field="field", ordinal="ordinal")
+# Every value of a record with its place; texts that hold JSON are opened where they stand.
+_PLACES = f"""WITH RECURSIVE places(record_id, v, path, element, owner, field, ordinal) AS (SELECT DISTINCT record_id, to_json(record), '', '', '', '', CAST(NULL AS BIGINT) FROM run_records WHERE record IS NOT NULL
+ UNION ALL SELECT record_id, p.v, p.path, p.element, p.owner, p.field, p.ordinal FROM (SELECT record_id, unnest(CASE json_type(v) WHEN 'OBJECT' THEN [{_MEMBER} for k in json_keys(v)] WHEN 'ARRAY' THEN [{_ELEMENT} for i in range(CAST(json_array_length(v) AS BIGINT))]
+ WHEN 'VARCHAR' THEN CASE WHEN left({_TEXT}, 1) IN ('{{', '[') AND json_valid({_TEXT}) THEN [{_OPENED}] ELSE [] END ELSE [] END) AS p FROM places)), objects AS (SELECT * FROM places WHERE json_type(v) = 'OBJECT')"""
+SQL = {
+    "p1_found": f"SELECT * FROM ({SCORES}) UNION ALL SELECT * FROM ({RECEPTORS})",
+    "p3_found": f"{_PLACES} SELECT DISTINCT record_id, path AS node_path, element AS parent_path FROM objects WHERE json_type(v, '$.sha256') = 'VARCHAR' AND {trim_sql("json_extract_string(v, '$.sha256')")} <> ''",
+    "p3_places": f"{_PLACES} SELECT DISTINCT record_id, path AS node_path, element AS parent_path, owner AS owner_path, field, CAST(ordinal AS INTEGER) AS ordinal FROM objects",
+    "p3_kinds": f"{_PLACES} SELECT regexp_replace(path, '\\[[0-9]+\\]', '', 'g') AS kind, count(DISTINCT (record_id, path)) AS occurrences, count(DISTINCT record_id) AS records FROM objects GROUP BY ALL",
+}

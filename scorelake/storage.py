@@ -1,8 +1,11 @@
 """Intermediate tables that outlive executors.
 
 Iterative operators cut their lineage by writing a table below the folder named in
-``spark.checkpoint.dir``, which all executors share. Only where a session names no folder
-(local tests) is a temporary one chosen.
+``spark.checkpoint.dir``, which all executors share. Only a local session that names no folder gets
+a temporary one; on a cluster the setting is needed.
+
+Stored tables live as long as the process, since results are read later than they are planned. Work
+done inside ``with scratch():`` leaves nothing behind: its tables are deleted at the end of the block.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import contextlib
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +25,12 @@ _stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where none is set."""
+    """The shared folder of the session; a local one only where none is set and the master is local."""
     folder = spark.conf.get(_KEY, None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set {_KEY} to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="scorelake-")
         spark.conf.set(_KEY, folder)
     return folder
@@ -45,7 +52,20 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         if path := _stored.pop(table, None):
             _delete(table.sparkSession, path)
-            _written.remove((table.sparkSession, path))
+            with contextlib.suppress(ValueError):
+                _written.remove((table.sparkSession, path))
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables stored within the block when it ends; results must have been read or written by then."""
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[kept:]:
+            _delete(spark, path)
+        del _written[kept:]
 
 
 def _delete(spark: SparkSession, path: str) -> None:

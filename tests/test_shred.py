@@ -59,6 +59,52 @@ def test_identities_and_bridges(spark):
     assert shred.entity_table(nodes, "y.z").count() == 1
 
 
+def opened(value):
+    """The record with JSON texts opened, numbers as the tables hold them."""
+    while isinstance(value, str) and value.strip()[:1] in ("{", "["):
+        try:
+            value = json.loads(value, parse_constant=str)
+        except ValueError:
+            break
+    if isinstance(value, dict):
+        return {k: opened(v) for k, v in value.items()}
+    return [opened(v) for v in value] if isinstance(value, list) else value
+
+
+def test_every_record_can_be_rebuilt(spark, folder):
+    records = spark.read.parquet(f"{folder}/run_records.parquet")
+    nodes = {}
+    for r in shred.shred(records).collect():
+        nodes.setdefault(r.record_id, []).append(r.asDict())
+    texts = {r.record_id: r.record for r in records.collect() if (r.record or "").strip(shred.MARKS)}
+    assert nodes.keys() == texts.keys()
+    for i, text in texts.items():
+        assert shred.rebuild(nodes[i]) == opened(text.strip(shred.MARKS))
+
+
+def test_mixed_arrays_and_any_depth(spark):
+    mixed = {"a": [1, {"sha256": "x"}, "kept", [None, {"b": {}}, True]], "c": {"d": [[], {}]}}
+    assert shred.rebuild(shred.shred_record(json.dumps(mixed))) == mixed
+    assert shred.rebuild(shred.shred_record(json.dumps([1, mixed, "x"]))) == [1, mixed, "x"]
+    rng = random.Random(6)
+    for _ in range(200):
+        value = {"r": build(rng)}
+        assert shred.rebuild(shred.shred_record(json.dumps(value))) == opened(value)
+    rows = shred.shred_record('{"a":[' * 2500 + '{"sha256": "deep"}' + "]}" * 2500)
+    assert len(rows) == 2501 and rows[0]["node_path"].count("a[0]") == 2500 and rows[-1]["node_path"] == ""
+    got = shred.hashed_objects(shred.shred(frame(spark, [(1, '{"a":' * 3000 + '{"sha256": "deep"}' + "}" * 3000)]))).collect()
+    assert len(got) == 1 and got[0].node_path.count("a") == 3000
+    kept = shred.shred_record("{broken")
+    assert [(r["field"], r["own_values"]) for r in kept] == [("unreadable", '"{broken"')]
+
+
+def test_entity_tables(spark, folder):
+    nodes = shred.shred(spark.read.parquet(f"{folder}/run_records.parquet"))
+    kinds = {r.kind: r.occurrences for r in shred.entity_kinds(nodes).collect()}
+    for kind in sorted(kinds)[:6]:
+        assert shred.entity_table(nodes, kind).count() == kinds[kind]
+
+
 def test_odd_records(spark):
     odd = [(1, None), (2, ""), (3, "  "), (4, "{broken"), (5, "[]"), (6, '{"a": NaN, "sha256": "x"}'), (None, '{"sha256": "n"}'), (8, "[" * 100000), (9, json.dumps({"a": "y" * 200000, "sha256": "long"})), (10, '{"\\ud800": {"sha256": "s"}}')]
     got = {(r.record_id, r.node_path) for r in shred.hashed_objects(shred.shred(frame(spark, odd))).collect()}
