@@ -27,9 +27,11 @@ from scorelake.functions import field61 as field
 from scorelake.functions.text import folded, hex_digits, number, trimmed
 from scorelake.storage import materialize
 
-#: Recovered hashes up to this number are broadcast to the scans that fetch rows (16 bytes each); more are joined by a shuffle.
-BROADCAST_HASHES = 2_000_000
+#: Recovered hashes up to this number are broadcast to the scans that fetch rows (some 50 MB as a hash relation); more are joined by a shuffle.
+BROADCAST_HASHES = 500_000
 SPARE = 2
+#: Into how many a bucket is split whose differences exceed the last bound.
+SPLIT = 16
 
 
 @dataclass(frozen=True)
@@ -123,9 +125,8 @@ def _solver(count: int):
                 continue
             na, nb = (np.array([x or 0 for x in b.column(c).to_pylist()], np.int64) for c in ("na", "nb"))
             found = field.difference(na, nb, matrix(b.column("ea")), matrix(b.column("eb")), at, SPARE)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("bucket"), pa.array([x is not None for x in found]), *(pa.array([x[i] if x else [] for x in found], pa.list_(pa.int64())) for i in (0, 1))], ["bucket", "verified", "only_primary", "only_mirror"]
-            )
+            lists = (pa.array([x[i] if x else [] for x in found], pa.list_(pa.int64())) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), pa.array([x is not None for x in found]), *lists, pa.array(np.abs(na - nb).astype(np.int32))], ["bucket", "verified", "only_primary", "only_mirror", "least"])
 
     return run
 
@@ -135,28 +136,35 @@ def differing_elements(elements: DataFrame, first_bound: int = 6, last_bound: in
 
     ``elements``: side (0, 1), bucket, elements (array of distinct hashes), a stored table. The bound
     on a bucket's differences starts at ``first_bound`` and doubles until all buckets are verified;
-    buckets beyond ``last_bound`` exchange their hashes themselves, which is exact at any number.
+    buckets beyond ``last_bound`` are split by further bits of a hash and sketched anew, so a side
+    that is empty or late by any number of rows is reconciled by the same method. The sizes of a
+    bucket differ by no more than its differences, so bounds below that are passed over.
     """
-    out, bound, left = [], first_bound, elements
+    out, bound, left, splits = [], first_bound, elements, 0
     one = lambda c, s: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True)
     while True:
         count = bound + SPARE
-        sketches = left.mapInArrow(_sketch(count), "side int, bucket long, n int, evaluated array<long>")
+        sketches = left.select("side", "bucket", "elements").mapInArrow(_sketch(count), "side int, bucket long, n int, evaluated array<long>")
         both = sketches.groupBy("bucket").agg(one("n", 0).alias("na"), one("evaluated", 0).alias("ea"), one("n", 1).alias("nb"), one("evaluated", 1).alias("eb"))
         same = both.where(~(F.col("na").eqNullSafe(F.col("nb")) & F.col("ea").eqNullSafe(F.col("eb"))))
-        solved = materialize(same.mapInArrow(_solver(count), "bucket long, verified boolean, only_primary array<long>, only_mirror array<long>"), "reconciled")
+        solved = materialize(same.mapInArrow(_solver(count), "bucket long, verified boolean, only_primary array<long>, only_mirror array<long>, least int"), "reconciled")
         good = solved.where("verified")
         out.append(good.select(F.lit(0).alias("side"), F.explode("only_primary").alias("element")).unionAll(good.select(F.lit(1).alias("side"), F.explode("only_mirror").alias("element"))))
-        failed = solved.where(~F.col("verified")).select("bucket")
-        if failed.isEmpty():
+        failed = solved.where(~F.col("verified")).select("bucket", "least")
+        least = failed.agg(F.min("least")).first()[0]
+        if least is None:
             return out
-        left = left.join(failed, "bucket", "left_semi")
+        left = left.join(failed.select("bucket"), "bucket", "left_semi")
         bound *= 2
+        while bound < least and bound <= last_bound:
+            bound *= 2
         if bound > last_bound:
-            both = left.groupBy("bucket").agg(*(F.coalesce(one("elements", s), F.array().cast("array<long>")).alias(n) for s, n in ((0, "a"), (1, "b"))))
-            exchanged = [both.select(F.lit(s).alias("side"), F.explode(F.array_except(x, y)).alias("element")) for s, x, y in ((0, "a", "b"), (1, "b", "a"))]
-            out.append(exchanged[0].unionAll(exchanged[1]))
-            return out
+            if splits == 12:
+                raise RuntimeError("buckets that no split separates")
+            single = left.select("side", "bucket", F.explode("elements").alias("element"))
+            finer = F.xxhash64("bucket", F.pmod(F.xxhash64("element", F.lit(splits)), F.lit(SPLIT)))
+            left = materialize(single.groupBy("side", finer.alias("bucket")).agg(F.collect_list("element").alias("elements")), "split")
+            bound, splits = first_bound, splits + 1
 
 
 def reconcile(primary: DataFrame, mirror: DataFrame, key: list[Key], fields: list[Field], version: str, bucket_rows: int = 40) -> DataFrame:

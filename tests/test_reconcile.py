@@ -61,9 +61,16 @@ def test_empty_sides_and_repeats(spark, rows):
 
 
 def test_many_differences_in_one_bucket_and_long_texts(spark, rows):
-    """Bounds double until verified; beyond the last bound the bucket's hashes are exchanged."""
+    """Bounds double until verified; beyond the last bound the bucket is split by further bits of a hash."""
     n = 150
     a = [(f"k{i}", "p_q", str(i), "x" * (20000 if i == 7 else 1), None, T[0], T[0]) for i in range(n)]
     b = [(f"k{i}", "p_q", str(i + (i % 3 == 0)), "x" * (20000 if i == 7 else 1), None, T[0], T[0]) for i in range(n)]
     got = rows(reconcile(frame(spark, a), frame(spark, b), KEY, FIELDS, "version", bucket_rows=1000))
     assert got == sorted((f"K{i}|P_q", "differs", "score") for i in range(0, n, 3))
+
+
+def test_an_empty_side_of_full_buckets(spark, rows):
+    """Buckets of a thousand rows that one side lacks altogether are split until all are recovered by sketches."""
+    some = [(f"k{i}", "p_q", str(i), "t", None, T[0], T[0]) for i in range(3000)]
+    got = reconcile(frame(spark, some), frame(spark, []), KEY, FIELDS, "version", bucket_rows=1000)
+    assert rows(got) == sorted((f"K{i}|P_q", "missing_in_mirror", "") for i in range(3000))
