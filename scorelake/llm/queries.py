@@ -16,7 +16,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.near_pairs(selection.standardized(table(spark, folder, "conformers"))).select("conformer_id_a", "conformer_id_b")
+    return selection.near_pairs(selection.standardized(table(spark, folder, "conformers"))).select("conformer_id_a", "conformer_id_b").distinct()
 
 
 def p4_subset(spark: SparkSession, folder: str) -> DataFrame:

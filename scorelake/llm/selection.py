@@ -8,10 +8,16 @@ combinations, never between all records of a pool. Then by (kind of shape, sourc
 minimum-cost flow over these combinations, with balanced targets for either category and convex
 penalties for overuse, says how many records each combination gives, and a deterministic rank picks
 them.
+
+The near pairs (``near_pairs``) are what over-represents a shape; the subset doesn't list them. It
+works on cells so fine that all records of one are near each other (``shape_kinds``), and compares
+records only between cells that nothing else links.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,9 +27,9 @@ from pyspark.sql import functions as F
 from scorelake.llm.components import contract
 from scorelake.storage import materialize
 
-#: Features whose cells are joined; the cells of the others are compared.
-JOINED = 3
-#: Records of one combination that one task pairs at a time.
+#: Features by which cells are extended at a time when touching ones are sought, and how often; cells of further features are left to the distance.
+STRIDE, LEVELS = 3, 4
+#: Records of one cell that one task pairs at a time.
 BLOCK = 512
 
 
@@ -47,42 +53,112 @@ def _distance(a: str, b: str) -> Column:
     return F.round(F.sqrt(square), 6)
 
 
+def _steps(i: int) -> list[int]:
+    return [(i // 3**k) % 3 - 1 for k in range(STRIDE)]
+
+
+def touching(combos: DataFrame) -> DataFrame:
+    """Rows (pool_id, combo, combo_b): unordered pairs of cells of a pool, each with itself too, that differ by at most 1 in each feature.
+
+    ``combos``: pool_id, combo (id), cell (array of int), a stored table. Cells are compared as a
+    tree: pairs of beginnings that touch are extended by the next features, so no key gathers more
+    than the cells that share a beginning. A pool's features are taken in the order in which they
+    tell cells apart; a constant one comes last.
+    """
+    each = combos.select("pool_id", F.posexplode("cell").alias("at", "c")).groupBy("pool_id", "at", "c").agg(F.count("*").alias("n"))
+    spread = each.groupBy("pool_id", "at").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("same"))
+    order = spread.groupBy("pool_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("same", "at"))), lambda x: x["at"]).alias("order"))
+    cells = combos.join(order, "pool_id").select("pool_id", "combo", F.transform("order", lambda i: F.get("cell", i)).alias("cell"))
+    dims = combos.agg(F.max(F.size("cell"))).first()[0] or 1
+    levels = min(LEVELS, math.ceil(dims / STRIDE))
+    # Ids of the beginnings: of the root, and after each extension. Cells of other lengths never meet.
+    ids = cells.withColumn("p0", F.size("cell").cast("long"))
+    for k in range(levels):
+        own = F.slice("cell", k * STRIDE + 1, STRIDE)
+        ids = ids.withColumn(f"s{k}", own).withColumn(f"p{k + 1}", F.xxhash64(f"p{k}", own) if k < levels - 1 else F.xxhash64(f"p{k}", "cell", F.lit("combo")))
+    ids = materialize(ids.drop("cell"), "cells")
+    near = F.array(*(F.array(*(F.lit(x) for x in _steps(i))) for i in range(3**STRIDE)))
+    pairs = ids.select("pool_id", F.col("p0").alias("a"), F.col("p0").alias("b")).distinct()
+    for k in range(levels):
+        children = ids.select("pool_id", f"p{k}", f"s{k}", f"p{k + 1}").distinct()
+        left = pairs.join(children.select("pool_id", F.col(f"p{k}").alias("a"), F.col(f"p{k + 1}").alias("a_next"), F.col(f"s{k}").alias("own")), ["pool_id", "a"])
+        moved = F.array_distinct(F.transform(near, lambda step: F.slice(F.zip_with("own", step, lambda x, y: x + y), 1, F.size("own"))))
+        left = left.select("pool_id", "b", (F.col("a") == F.col("b")).alias("same"), "a_next", F.explode(moved).alias("own"))
+        right = children.select("pool_id", F.col(f"p{k}").alias("b"), F.col(f"p{k + 1}").alias("b_next"), F.col(f"s{k}").alias("own"))
+        met = left.join(right, ["pool_id", "b", "own"]).where(~F.col("same") | (F.col("a_next") <= F.col("b_next")))
+        pairs = met.select("pool_id", F.col("a_next").alias("a"), F.col("b_next").alias("b"))
+    last = ids.select("pool_id", "combo", F.col(f"p{levels}").alias("p"))
+    named = pairs.join(last.withColumnRenamed("p", "a"), ["pool_id", "a"]).join(last.select("pool_id", F.col("p").alias("b"), F.col("combo").alias("combo_b")), ["pool_id", "b"])
+    return named.select("pool_id", "combo", "combo_b")
+
+
+def _close(rows: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
+    """Rows (pool_id, combo, combo_b, id, id_b) at a distance of at most ``most``, of ``rows`` (pool_id, combo, id, features) for pairs of cells; within a cell each pair once.
+
+    Cells with many records are cut into blocks that different tasks pair.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    sizes = rows.groupBy("pool_id", "combo").agg(F.count("*").alias("n")).select("pool_id", "combo", blocks.alias("blocks"))
+    cut = pairs.join(sizes, ["pool_id", "combo"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = cut.join(rows.select("pool_id", F.col("id").alias("id_b"), F.col("features").alias("features_b"), F.col("combo").alias("combo_b")), ["pool_id", "combo_b"])
+    sized = rows.join(sizes, ["pool_id", "combo"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    both = sized.join(other, ["pool_id", "combo", "block"]).where((F.col("combo") != F.col("combo_b")) | (F.col("id") < F.col("id_b")))
+    return both.where(_distance("features", "features_b") <= most).select("pool_id", "combo", "combo_b", "id", "id_b")
+
+
 def near_pairs(features: DataFrame, most: float = 1.0) -> DataFrame:
     """Rows (pool_id, conformer_id_a, conformer_id_b): pairs of one pool at a distance of at most ``most``, a before b.
 
     Cells have the width ``most`` (and a bit, for rounding), so a pair's cells differ by at most 1
-    in each feature. Combinations with many records are cut into blocks that different tasks pair.
+    in each feature.
     """
     width = most * (1 + 1e-5)
-    cells = features.withColumn("cell", F.transform("features", lambda x: F.floor(x / width).cast("int")))
-    combos = cells.groupBy("pool_id", "cell").agg(F.count("*").alias("n"))
-    combos = materialize(combos.withColumn("combo", F.xxhash64("pool_id", "cell")), "combos")
-    near = F.explode(F.array(*(F.array(*(F.lit(x) for x in _steps(i))) for i in range(3**JOINED))))
-    head = F.slice("cell", 1, JOINED)
-    left = combos.select("pool_id", "combo", "cell", "n", near.alias("step")).withColumn("head", F.zip_with(head, "step", lambda x, y: x + y))
-    right = combos.select("pool_id", F.col("combo").alias("combo_b"), F.col("cell").alias("cell_b"), head.alias("head"))
-    touching = F.forall(F.zip_with("cell", "cell_b", lambda x, y: F.abs(x - y)), lambda d: d <= 1)
-    pairs = left.join(right, ["pool_id", "head"]).where((F.col("combo") <= F.col("combo_b")) & touching)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    pairs = pairs.select("pool_id", "combo", "combo_b", blocks.alias("blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    rows = cells.select("pool_id", "conformer_id", "features", F.xxhash64("pool_id", "cell").alias("combo"))
-    other = pairs.join(rows.select("pool_id", F.col("conformer_id").alias("id_b"), F.col("features").alias("features_b"), F.col("combo").alias("combo_b")), ["pool_id", "combo_b"])
-    sized = rows.join(combos.select("combo", "pool_id", blocks.alias("blocks")), ["pool_id", "combo"]).withColumn("block", F.pmod(F.xxhash64("conformer_id"), F.col("blocks")).cast("int")).drop("blocks")
-    both = sized.join(other, ["pool_id", "combo", "block"]).where((F.col("combo") < F.col("combo_b")) | (F.col("conformer_id") < F.col("id_b")))
-    close = both.where(_distance("features", "features_b") <= most)
-    return close.select("pool_id", F.least("conformer_id", "id_b").alias("conformer_id_a"), F.greatest("conformer_id", "id_b").alias("conformer_id_b")).distinct()
+    cells = features.withColumn("cell", F.transform("features", lambda x: F.floor(x / width).cast("int"))).withColumn("combo", F.xxhash64("pool_id", "cell"))
+    combos = materialize(cells.select("pool_id", "combo", "cell").distinct(), "combos")
+    rows = cells.select("pool_id", "combo", F.col("conformer_id").alias("id"), "features")
+    close = _close(rows, touching(combos), most)
+    return close.select("pool_id", F.least("id", "id_b").alias("conformer_id_a"), F.greatest("id", "id_b").alias("conformer_id_b"))
 
 
-def _steps(i: int) -> list[int]:
-    return [(i // 3**k) % 3 - 1 for k in range(JOINED)]
+def _links(vertex: str, other: str) -> list[Column]:
+    return [F.struct("pool_id", F.col(vertex).alias("id")).alias("u"), F.struct("pool_id", F.col(other).alias("id")).alias("v")]
 
 
-def shape_kinds(features: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows (pool_id, conformer_id, shape): the smallest conformer of its kind names a shape."""
-    vertex = lambda c: F.struct("pool_id", F.col(c).alias("conformer_id"))
-    linked = contract(pairs.select(vertex("conformer_id_a").alias("u"), vertex("conformer_id_b").alias("v")))
-    named = linked.join(linked.groupBy("root").agg(F.min("vertex.conformer_id").alias("shape")), "root").select("vertex.pool_id", "vertex.conformer_id", "shape")
-    return features.select("pool_id", "conformer_id").join(named, ["pool_id", "conformer_id"], "left").select("pool_id", "conformer_id", F.coalesce("shape", "conformer_id").alias("shape"))
+def shape_kinds(features: DataFrame, most: float = 1.0) -> DataFrame:
+    """Rows (pool_id, conformer_id, shape): the smallest conformer of its kind names a shape.
+
+    Records of a cell whose diagonal is ``most`` are all near each other, so the cell's smallest
+    record stands for them. Cells are linked where their smallest records are near. Only cells of
+    different kinds that have records near enough for a link then compare their records. So a shape
+    of any number of conformers costs as much as the cells it fills, and no pairs are listed.
+    """
+    dims = F.size("features")
+    width = F.lit(most * (1 - 1e-9)) / F.sqrt(dims)
+    fine = features.withColumn("fine", F.transform("features", lambda x: F.floor(x / width).cast("long")))
+    cells = fine.groupBy("pool_id", "fine").agg(F.min("conformer_id").alias("id"), F.min_by("features", "conformer_id").alias("features"), F.count("*").alias("n"))
+    # Whole fine cells lie in one coarse cell, which is wider than ``most``.
+    coarse = F.transform("fine", lambda x: F.floor(x / (F.floor(F.sqrt(dims)) + 1)).cast("int"))
+    cells = materialize(cells.withColumn("cell", coarse).withColumn("combo", F.xxhash64("pool_id", "cell")), "cells")
+    combos = materialize(cells.select("pool_id", "combo", "cell").distinct(), "combos")
+    met = materialize(touching(combos), "touching")
+    near = _close(cells.select("pool_id", "combo", "id", "features"), met, most)
+    first = materialize(contract(near.select(*_links("id", "id_b"))), "linked")
+    kind = F.coalesce("root.id", "id")
+    named = cells.join(first, F.struct("pool_id", "id") == F.col("vertex"), "left").select("pool_id", "fine", "id", "combo", "n", kind.alias("kind"))
+    named = materialize(named, "kinds")
+    # Cells of different kinds whose boxes come within ``most`` of each other: their records decide.
+    side = lambda t: named.select("pool_id", F.col("combo").alias("combo" + t), F.col("id").alias("id" + t), F.col("kind").alias("kind" + t), F.col("fine").alias("fine" + t), F.col("n").alias("n" + t))
+    gap = F.aggregate(F.zip_with("fine", "fine_b", lambda x, y: F.greatest(F.abs(x - y) - 1, F.lit(0))), F.lit(0).cast("long"), lambda s, d: s + d * d)
+    open_pairs = met.join(side(""), ["pool_id", "combo"]).join(side("_b"), ["pool_id", "combo_b"]).where("kind <> kind_b AND n + n_b > 2").where(gap <= F.size("fine") * (1 + 1e-5))
+    open_pairs = materialize(open_pairs.select("pool_id", F.col("id").alias("combo"), F.col("id_b").alias("combo_b")), "open")
+    members = fine.join(cells.select("pool_id", "fine", F.col("id").alias("combo")), ["pool_id", "fine"])
+    late = _close(members.select("pool_id", "combo", F.col("conformer_id").alias("id"), "features"), open_pairs, most)
+    kinds = named.select("pool_id", "id", "kind")
+    again = late.select("pool_id", "combo", "combo_b").distinct().join(kinds.select("pool_id", F.col("id").alias("combo"), F.col("kind").alias("u_kind")), ["pool_id", "combo"]).join(kinds.select("pool_id", F.col("id").alias("combo_b"), F.col("kind").alias("v_kind")), ["pool_id", "combo_b"])
+    second = contract(again.select(*_links("u_kind", "v_kind")))
+    final = named.join(second, F.struct("pool_id", F.col("kind").alias("id")) == F.col("vertex"), "left").select("pool_id", "fine", "id", F.coalesce("root.id", "kind").alias("kind"))
+    names = final.groupBy("pool_id", "kind").agg(F.min("id").alias("shape"))
+    return fine.join(final.select("pool_id", "fine", "kind"), ["pool_id", "fine"]).join(names, ["pool_id", "kind"]).select("pool_id", "conformer_id", "shape")
 
 
 def flow_quotas(counts: dict[tuple[str, str], int], size: int) -> dict[tuple[str, str], int]:
@@ -96,38 +172,69 @@ def flow_quotas(counts: dict[tuple[str, str], int], size: int) -> dict[tuple[str
     size = min(size, sum(counts.values()))
     total: dict[str, int] = {}
     kinds: dict[str, int] = {}
+    held: dict[str, list[str]] = {}
     for (shape, kind), n in counts.items():
         total[shape] = total.get(shape, 0) + n
         kinds[kind] = kinds.get(kind, 0) + n
+        held.setdefault(shape, []).append(kind)
     shapes, types = sorted(total, key=lambda s: (-total[s], s)), sorted(kinds)
     want_s, want_t = max(1.0, size / len(shapes)) if shapes else 1.0, size / max(1, len(types))
     step = lambda used, want: (2 * used + 1 - 2 * want) / want
     used: dict[tuple[str, str], int] = dict.fromkeys(counts, 0)
     by_s, by_t = dict.fromkeys(shapes, 0), dict.fromkeys(types, 0)
     rank = {s: i for i, s in enumerate(shapes)}
+    cost = lambda s: 1000.0 * step(by_s[s], want_s) + 1e-3 * rank[s]
+    # The cheapest shape with records left, by type; costs only grow, so old entries are renewed when met.
+    heaps = {t: [] for t in types}
+    for s in shapes:
+        for t in held[s]:
+            heaps[t].append((cost(s), rank[s]))
+    for h in heaps.values():
+        heapq.heapify(h)
+    # Shapes that use one type and have records of another left: a unit of theirs may change over.
+    change: dict[tuple[str, str], set[str]] = {(a, b): set() for a in types for b in types if a != b}
+
+    def note(s: str) -> None:
+        for a in held[s]:
+            for b in held[s]:
+                if a != b:
+                    (change[a, b].add if used[s, a] > 0 and used[s, b] < counts[s, b] else change[a, b].discard)(s)
+
+    def cheapest(t: str) -> tuple[float, str | None]:
+        h = heaps[t]
+        while h:
+            s = shapes[h[0][1]]
+            if used[s, t] >= counts[s, t]:
+                heapq.heappop(h)
+            elif h[0][0] != cost(s):
+                heapq.heapreplace(h, (cost(s), rank[s]))
+            else:
+                return h[0][0], s
+        return float("inf"), None
+
     for _ in range(size):
-        # Distances over shapes and types; an arc type -> shape gives back a used unit.
-        far = {("s", s): 1000.0 * step(by_s[s], want_s) + 1e-3 * rank[s] for s in shapes}
-        came: dict = dict.fromkeys(far)
-        for t in types:
-            far["t", t] = float("inf")
-        for _ in range(2 * len(types) + 2):
+        first = {t: cheapest(t) for t in types}
+        far, came = {t: first[t][0] for t in types}, dict.fromkeys(types)
+        for _ in types:
             moved = False
-            for (s, t), n in counts.items():
-                if used[s, t] < n and far["s", s] < far["t", t] - 1e-9:
-                    far["t", t], came["t", t], moved = far["s", s], (s, t, 1), True
-                if used[s, t] > 0 and far["t", t] < far["s", s] - 1e-9:
-                    far["s", s], came["s", s], moved = far["t", t], (s, t, -1), True
+            for (a, b), able in change.items():
+                if able and far[a] < far[b] - 1e-9:
+                    far[b], came[b], moved = far[a], a, True
             if not moved:
                 break
-        end = min(types, key=lambda t: (far["t", t] + 10.0 * step(by_t[t], want_t), t))
+        end = min(types, key=lambda t: (far[t] + 10.0 * step(by_t[t], want_t), t))
         by_t[end] += 1
-        node = ("t", end)
-        while came[node]:
-            s, t, change = came[node]
-            used[s, t] += change
-            node = ("s", s) if node[0] == "t" else ("t", t)
-        by_s[node[1]] += 1
+        while came[end] is not None:
+            s = min(change[came[end], end], key=rank.__getitem__)
+            used[s, end] += 1
+            used[s, came[end]] -= 1
+            heapq.heappush(heaps[came[end]], (cost(s), rank[s]))
+            note(s)
+            end = came[end]
+        s = first[end][1]
+        used[s, end] += 1
+        by_s[s] += 1
+        note(s)
     return {k: n for k, n in used.items() if n}
 
 
@@ -142,7 +249,7 @@ def select_varied(conformers: DataFrame, requests: list[tuple[str, int]]) -> Dat
     """
     most = max([n for _, n in requests], default=0)
     features = standardized(conformers)
-    kinds = materialize(shape_kinds(features, materialize(near_pairs(features), "pairs")), "kinds")
+    kinds = materialize(shape_kinds(features), "kinds")
     facts = conformers.groupBy("pool_id", "conformer_id").agg(F.min(F.struct((F.coalesce(F.lower("status"), F.lit("")) != "eligible").alias("later"), F.coalesce("resolution_angstrom", F.lit(float("inf"))).alias("resolution"), F.coalesce("source_type", F.lit("")).alias("source_type"))).alias("f"))
     rows = kinds.join(facts, ["pool_id", "conformer_id"]).select("pool_id", "conformer_id", "shape", "f.*")
     place = Window.partitionBy("pool_id", "shape", "source_type").orderBy("later", "resolution", "conformer_id")

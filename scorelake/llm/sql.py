@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from scorelake.plans.training_sql import _NONE, _trim
+from scorelake.plans.spelling import NONE_SQL, trim_sql
 
 _VALUES = " UNION ALL ".join(
-    [f"SELECT upper({_trim('ligand_id')}) AS l, '{c}' || nullif(regexp_replace(lower({_trim(c)}), '[\\s\\-_:]', '', 'g'), '') AS k FROM ligands WHERE lower({_trim(c)}) NOT IN ({_NONE})" for c in ("split_group_id", "source_molecule_id", "document_id")]
-    + [f"SELECT upper({_trim('ligand_id')}), 'scaffold' || {_trim('scaffold_smiles')} FROM ligands WHERE lower({_trim('scaffold_smiles')}) NOT IN ({_NONE})"]
+    [f"SELECT upper({trim_sql('ligand_id')}) AS l, '{c}' || nullif(regexp_replace(lower({trim_sql(c)}), '[\\s\\-_:]', '', 'g'), '') AS k FROM ligands WHERE lower({trim_sql(c)}) NOT IN ({NONE_SQL})" for c in ("split_group_id", "source_molecule_id", "document_id")]
+    + [f"SELECT upper({trim_sql('ligand_id')}), 'scaffold' || {trim_sql('scaffold_smiles')} FROM ligands WHERE lower({trim_sql('scaffold_smiles')}) NOT IN ({NONE_SQL})"]
 )
 
 SQL = {

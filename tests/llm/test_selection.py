@@ -76,3 +76,76 @@ def test_subsets(spark):
     kinds = {r.shape for r in size["twelve", "p1"]}
     assert len(kinds) >= 8 and len({r.conformer_id for r in size["twelve", "p1"]}) == 12
     assert selection.select_varied(frame(spark, rows).limit(0), [("four", 4)]).count() == 0
+
+
+def brute_kinds(rows):
+    ids = {(r[1], r[0]) for r in rows if r[5]}
+    pool_of = {}
+    for p, c in ids:
+        pool_of.setdefault(c, p)
+    root = {c: c for _, c in ids}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    for a, b in brute(rows):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {c: find(c) for _, c in ids}
+
+
+def test_kinds_against_brute_force(spark):
+    rng = random.Random(10)
+    rows = shapes(rng, "p1", 160, 14, 5) + shapes(rng, "p2", 60, 6, 4) + shapes(rng, "p3", 1, 1)
+    rows += [(f"line{i:03d}", "p4", "md", "eligible", None, [i * 0.9, 0.0, 0.0, 7.0, i * 0.1]) for i in range(40)]
+    got = {r.conformer_id: r.shape for r in selection.shape_kinds(selection.standardized(frame(spark, rows))).collect()}
+    assert got == brute_kinds(rows)
+
+
+def test_records_decide_between_cells(spark):
+    """The smallest records of two cells are too far apart, others aren't."""
+    rng = random.Random(11)
+    rows = [(f"c{i:04d}", "p", "md", "eligible", None, [rng.uniform(0, 4), rng.uniform(0, 4)]) for i in range(400)]
+    got = {r.conformer_id: r.shape for r in selection.shape_kinds(selection.standardized(frame(spark, rows)), 0.12).collect()}
+    ids, m = [r[0] for r in rows], np.array([r[5] for r in rows])
+    z = (m - m.mean(0)) / m.std(0)
+    root = {c: c for c in ids}
+    for i in range(len(ids)):
+        for j in range(i):
+            if round(float(np.sqrt(((z[i] - z[j]) ** 2).sum())), 6) <= 0.12:
+                a, b = ids[i], ids[j]
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                root[max(a, b)] = min(a, b)
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    assert got == {c: find(c) for c in ids}
+
+
+def test_a_shape_of_very_many_conformers_and_constant_features(spark):
+    rng = np.random.default_rng(12)
+    hot = rng.normal(0, 0.02, (30_000, 12)) + np.where(np.arange(12) < 3, 0.0, 1.0)
+    rare = rng.normal(0, 4, (60, 12))
+    points = np.concatenate([hot, rare])
+    points[:, :3] = 2.5  # constant
+    rows = [(f"c{i:06d}", "p", "md" if i % 3 else "crystal", "eligible", None, x.tolist()) for i, x in enumerate(points)]
+    chosen = selection.select_varied(frame(spark, rows), [("twelve", 12), ("forty", 40)]).collect()
+    forty = [r for r in chosen if r.request_id == "forty"]
+    assert len(chosen) == 52 and len({r.shape for r in forty}) == 40 and sum(r.shape == "c000000" for r in forty) == 1
+
+
+def test_flow_of_many_combinations():
+    rng = random.Random(13)
+    counts = {(f"s{i}", t): rng.randint(1, 50) for i in range(4000) for t in rng.sample("abcde", rng.randint(1, 4))}
+    quotas = selection.flow_quotas(counts, 2000)
+    by_type = {t: sum(n for (_, x), n in quotas.items() if x == t) for t in "abcde"}
+    assert sum(quotas.values()) == 2000 and max(by_type.values()) - min(by_type.values()) <= 1
+    assert all(n <= counts[k] for k, n in quotas.items()) and len({s for s, _ in quotas}) == 2000
