@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from scorelake.llm.components import contract
 from scorelake.storage import materialize
 
-#: Features by which cells are extended at a time when touching ones are sought, and how often; cells of further features are left to the distance.
-STRIDE, LEVELS = 3, 4
+#: Features by which beginnings of cells are extended at a time when touching ones are sought, and how often; further features are compared then.
+STRIDE, LEVELS = 3, 2
 #: Records of one cell that one task pairs at a time.
 BLOCK = 512
 
@@ -62,7 +62,8 @@ def touching(combos: DataFrame) -> DataFrame:
 
     ``combos``: pool_id, combo (id), cell (array of int), a stored table. Cells are compared as a
     tree: pairs of beginnings that touch are extended by the next features, so no key gathers more
-    than the cells that share a beginning. A pool's features are taken in the order in which they
+    than the cells that share a beginning; what then remains are pairs of hardly shared beginnings,
+    whose further features are compared. A pool's features are taken in the order in which they
     tell cells apart; a constant one comes last.
     """
     each = combos.select("pool_id", F.posexplode("cell").alias("at", "c")).groupBy("pool_id", "at", "c").agg(F.count("*").alias("n"))
@@ -76,7 +77,7 @@ def touching(combos: DataFrame) -> DataFrame:
     for k in range(levels):
         own = F.slice("cell", k * STRIDE + 1, STRIDE)
         ids = ids.withColumn(f"s{k}", own).withColumn(f"p{k + 1}", F.xxhash64(f"p{k}", own) if k < levels - 1 else F.xxhash64(f"p{k}", "cell", F.lit("combo")))
-    ids = materialize(ids.drop("cell"), "cells")
+    ids = materialize(ids.withColumn("rest", F.slice("cell", levels * STRIDE + 1, max(1, dims))).drop("cell"), "cells")
     near = F.array(*(F.array(*(F.lit(x) for x in _steps(i))) for i in range(3**STRIDE)))
     pairs = ids.select("pool_id", F.col("p0").alias("a"), F.col("p0").alias("b")).distinct()
     for k in range(levels):
@@ -87,9 +88,9 @@ def touching(combos: DataFrame) -> DataFrame:
         right = children.select("pool_id", F.col(f"p{k}").alias("b"), F.col(f"p{k + 1}").alias("b_next"), F.col(f"s{k}").alias("own"))
         met = left.join(right, ["pool_id", "b", "own"]).where(~F.col("same") | (F.col("a_next") <= F.col("b_next")))
         pairs = met.select("pool_id", F.col("a_next").alias("a"), F.col("b_next").alias("b"))
-    last = ids.select("pool_id", "combo", F.col(f"p{levels}").alias("p"))
-    named = pairs.join(last.withColumnRenamed("p", "a"), ["pool_id", "a"]).join(last.select("pool_id", F.col("p").alias("b"), F.col("combo").alias("combo_b")), ["pool_id", "b"])
-    return named.select("pool_id", "combo", "combo_b")
+    last = ids.select("pool_id", "combo", "rest", F.col(f"p{levels}").alias("a"))
+    named = pairs.join(last, ["pool_id", "a"]).join(last.select("pool_id", F.col("a").alias("b"), F.col("combo").alias("combo_b"), F.col("rest").alias("rest_b")), ["pool_id", "b"])
+    return named.where(F.forall(F.zip_with("rest", "rest_b", lambda x, y: F.abs(x - y)), lambda d: d <= 1)).select("pool_id", "combo", "combo_b")
 
 
 def _close(rows: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
