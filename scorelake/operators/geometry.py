@@ -50,15 +50,34 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return both_ways(pairs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Points of one cell that one task pairs at a time.
+BLOCK = 512
+
+
 def within_range(points: DataFrame, key: str, coordinates: list[str], cutoff: float) -> DataFrame:
-    """(a, b, distance) of points at most ``cutoff`` apart, by a join of grid cells: each point meets its own and the neighbouring cells only."""
-    cell = [F.floor(F.col(c) / cutoff) for c in coordinates]
-    left = points.select(F.col(key).alias("a"), *(F.col(c).alias(f"a_{c}") for c in coordinates), *(x.alias(f"__{i}") for i, x in enumerate(cell)))
-    for i in range(len(coordinates)):
-        left = left.withColumn(f"__{i}", F.explode(F.array(*(F.col(f"__{i}") + s for s in (-1, 0, 1)))))
-    right = points.select(F.col(key).alias("b"), *(F.col(c).alias(f"b_{c}") for c in coordinates), *(x.alias(f"__{i}") for i, x in enumerate(cell)))
-    square = sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in coordinates), F.lit(0.0))
-    return left.join(right, [f"__{i}" for i in range(len(coordinates))]).where("a < b").select("a", "b", F.sqrt(square).alias("distance")).where(F.col("distance") <= cutoff)
+    """(a, b, distance) of points at most ``cutoff`` apart, a before b; ``vectors_within`` over named coordinates. Points with a null coordinate have no partner."""
+    whole = points.dropna(subset=coordinates)
+    return vectors_within(whole.select(key, F.array(*(F.col(c).cast("double") for c in coordinates)).alias("point")), key, "point", cutoff, coordinates=len(coordinates))
+
+
+def vectors_within(points: DataFrame, key: str, vector: str, cutoff: float, coordinates: int = 3) -> DataFrame:
+    """(a, b, distance) of different vectors of one length at most ``cutoff`` apart, a before b.
+
+    A join of grid cells over the first ``coordinates`` of each vector, in which near vectors are
+    near as well; each meets its own and the neighbouring cells, and the distance is that of whole
+    vectors. Cells with many points are cut into blocks that different tasks pair. Null vectors have
+    no partner.
+    """
+    cell = F.transform(F.slice(vector, 1, coordinates), lambda x: F.floor(x / cutoff).cast("long"))
+    rows = materialize(points.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), cell.alias("cell")), "points")
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    sizes = rows.groupBy("cell").agg(blocks.alias("blocks"))
+    left = rows.join(sizes, "cell").select(F.col("id").alias("a"), F.col("v").alias("va"), "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    steps = F.array(*(F.array(*(F.lit((i // 3**k) % 3 - 1) for k in range(coordinates))) for i in range(3**coordinates)))
+    near = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(F.transform(steps, lambda s: F.slice(F.zip_with("cell", s, lambda x, y: x + y), 1, F.size("cell")))).alias("cell"))
+    right = near.join(sizes, "cell").select("b", "vb", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return left.join(right, ["cell", "block"]).where("a < b").select("a", "b", F.sqrt(square).alias("distance")).where(F.col("distance") <= cutoff)
 
 
 def successor_basins(pairs: DataFrame, quality: DataFrame, rounds: int = 30) -> DataFrame:

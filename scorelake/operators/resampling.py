@@ -5,9 +5,11 @@ Rows are reduced to one per entity first; replicates multiply those, never the r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.operators.prefix import row_numbers
+
 
 def uniform(seed: str, *parts: str) -> Column:
     """In [0, 1), from the first 48 bits of a SHA-256 of seed|part|part..."""
@@ -56,13 +58,12 @@ def jackknife_gap(df: DataFrame, scope: list[str], unit: str, y: str, value: str
 def permutation_gap(df: DataFrame, scope: list[str], unit: str, y: str, value: str, replicates: int, seed: str) -> DataFrame:
     """Per scope: gap between the classes' means and p = (1 + permutations at least as large) / (1 + permutations).
 
-    A permutation gives the p units that come first in its hash order the label 1; as all
-    permutations of a scope are ordered by one window per (scope, permutation), each holds the
-    scope's units only.
+    A permutation gives the p units that come first in its hash order the label 1; the orders are
+    running totals over range-partitioned rows, so a scope with many units is spread.
     """
     units = df.groupBy(*scope, unit, y).agg(F.avg(value).alias("v"))
     whole = units.groupBy(*scope).agg(F.sum(y).alias("p"), (F.avg(F.when(F.col(y) == 0, F.col("v"))) - F.avg(F.when(F.col(y) == 1, F.col("v")))).alias("gap"))
     rows = units.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("u", uniform(seed, "replicate", unit))
-    placed = rows.withColumn("r", F.row_number().over(Window.partitionBy(*scope, "replicate").orderBy("u", unit))).join(whole.select(*scope, "p"), scope)
+    placed = row_numbers(rows.select(*scope, "replicate", "u", unit, "v"), [*scope, "replicate"], ["u", unit], "r").join(whole.select(*scope, "p"), scope)
     gaps = placed.groupBy(*scope, "replicate").agg((F.avg(F.when(F.col("r") > F.col("p"), F.col("v"))) - F.avg(F.when(F.col("r") <= F.col("p"), F.col("v")))).alias("g"))
     return gaps.join(whole, scope).groupBy(*scope).agg(F.first("gap").alias("gap"), F.count("g").alias("permutations"), ((1 + F.count_if(F.col("g") >= F.col("gap") - 1e-9)) / (1 + F.count("g"))).alias("p_value"))

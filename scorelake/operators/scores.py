@@ -95,12 +95,15 @@ def duplicate_audit(df: DataFrame, scope: list[str], key: list[str]) -> DataFram
 
 
 def completeness(cells: DataFrame, entities: DataFrame, scorers: DataFrame) -> DataFrame:
-    """Per (target, scorer): entities expected of the target, those scored, and how many are missing. The grid itself is never built."""
-    expected = entities.groupBy("target_id").agg(F.countDistinct("ligand_id").alias("expected"))
-    have = cells.groupBy("target_id", "receptor_id").agg(F.countDistinct("ligand_id").alias("scored"))
+    """Per (target, scorer): entities expected of the target, those of them scored, those missing, and scored ones that aren't expected. The grid itself is never built."""
+    listed = entities.where("target_id IS NOT NULL AND ligand_id IS NOT NULL").select("target_id", "ligand_id").distinct()
+    expected = listed.groupBy("target_id").agg(F.count("*").alias("expected"))
+    have = cells.select("target_id", "receptor_id", "ligand_id").distinct().join(listed.withColumn("listed", F.lit(True)), ["target_id", "ligand_id"], "left")
+    have = have.groupBy("target_id", "receptor_id").agg(F.count("listed").alias("scored"), F.count_if(F.col("listed").isNull()).alias("unknown"))
     grid = scorers.select("target_id", "receptor_id").distinct().join(expected, "target_id")
-    joined = grid.join(have, ["target_id", "receptor_id"], "left").select("target_id", "receptor_id", "expected", F.coalesce("scored", F.lit(0)).alias("scored"))
-    return joined.withColumn("missing", F.greatest(F.lit(0), F.col("expected") - F.col("scored")))
+    joined = grid.join(have, ["target_id", "receptor_id"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select("target_id", "receptor_id", "expected", zero("scored").alias("scored"), (F.col("expected") - zero("scored")).alias("missing"), zero("unknown").alias("unknown"))
 
 
 def score_matrix(cells: DataFrame, rows: list[str], column: str, values: list[str], value: str = "score") -> DataFrame:
@@ -121,7 +124,7 @@ def id_sets_equal(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 
 def set_digest(df: DataFrame, groups: list[str], key: str) -> DataFrame:
-    """Per group: number of ids and an order-free digest of the set (sum of 60-bit hashes), as a certificate of equality."""
+    """Per group: number of ids and an order-free digest of the set: the sum of the first 48 bits of each id's SHA-256. Equal sets have equal sums; it is no cryptographic digest."""
     hashed = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return df.select(*groups, key).distinct().groupBy(*groups).agg(F.count("*").alias("ids"), F.sum(hashed).cast("string").alias("digest"))
 

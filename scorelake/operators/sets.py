@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.storage import materialize
 
-def set_pairs(members: DataFrame, scope: list[str], owner: str, member: str) -> DataFrame:
-    """Per scope and pair of owners a < b that share a member: sizes, intersection, union, Jaccard.
 
-    Pairs come from a join on the member, of which each scope has few owners (scorers); pairs
-    without a common member have Jaccard 0 and are left out.
+def set_pairs(members: DataFrame, scope: list[str], owner: str, member: str, owners: DataFrame | None = None) -> DataFrame:
+    """Per scope and pair of owners a < b: sizes, intersection, union, Jaccard (0 for disjoint sets, 1 for two empty ones).
+
+    ``owners`` names owners whose sets may be empty; without it they are those with members. What
+    two sets share comes from a join on the member, of which each scope has few owners (scorers).
     """
     rows = members.select(*scope, owner, member).distinct()
     sizes = rows.groupBy(*scope, owner).agg(F.count("*").alias("size"))
+    if owners is not None:
+        sizes = owners.select(*scope, owner).distinct().join(sizes, [*scope, owner], "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    sizes = materialize(sizes, "sizes")
     a, b = rows.withColumnRenamed(owner, "a"), rows.withColumnRenamed(owner, "b")
     common = a.join(b, [*scope, member]).where("a < b").groupBy(*scope, "a", "b").agg(F.count("*").alias("common"))
-    sized = common.join(sizes.withColumnRenamed(owner, "a").withColumnRenamed("size", "size_a"), [*scope, "a"]).join(sizes.withColumnRenamed(owner, "b").withColumnRenamed("size", "size_b"), [*scope, "b"])
+    one = lambda t: sizes.select(*scope, F.col(owner).alias(t), F.col("size").alias(f"size_{t}"))
+    pairs = one("a").join(one("b"), scope).where("a < b").join(common, [*scope, "a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
     union = F.col("size_a") + F.col("size_b") - F.col("common")
-    return sized.select(*scope, "a", "b", "size_a", "size_b", "common", union.alias("either"), (F.col("common") / union).alias("jaccard"))
+    return pairs.select(*scope, "a", "b", "size_a", "size_b", "common", union.alias("either"), F.when(union == 0, 1.0).otherwise(F.try_divide(F.col("common"), union)).alias("jaccard"))
 
 
 def coverage(hits: DataFrame, labels: DataFrame, scope: list[str], owner: str) -> DataFrame:

@@ -44,7 +44,7 @@ def _aside(sql: str) -> str:
     return sql.replace(", 9)", f" + {ASIDE!r}, 9)")
 
 
-_NEEDS = {"cells": ["latest"], "summary": ["cells"], "lab": ["summary", "labels"], "labcells": ["cells", "labels"], "metrics": ["lab"], "seedmetrics": ["labcells"], "top": ["lab"], "profile": ["seedmetrics"], "pairs": [], "feats": []}
+_NEEDS = {"cells": ["latest"], "summary": ["cells"], "lab": ["summary", "labels"], "labcells": ["cells", "labels"], "metrics": ["lab"], "seedmetrics": ["labcells"], "top": ["lab"], "profile": ["seedmetrics"], "pairs": [], "ranks": ["labcells"], "utility": ["ranks"], "best3": ["metrics"]}
 
 
 def _closure(names: list[str]) -> list[str]:
@@ -81,6 +81,9 @@ CTES = {
     "seedmetrics": _metrics_sql("labcells", "target_id, receptor_id, seed_id", "score"),
     "top": "SELECT target_id, receptor_id, ligand_id, median_score, y, r AS position FROM (SELECT *, row_number() OVER (PARTITION BY target_id, receptor_id ORDER BY median_score, ligand_id) AS r, count(*) OVER (PARTITION BY target_id, receptor_id) AS n FROM lab) WHERE r <= greatest(1, ceil(n * CAST(0.1 AS DOUBLE)))",
     "profile": "SELECT target_id, seed_id AS fold, CAST(k AS INTEGER) AS k, avg(roc_auc) OVER (PARTITION BY target_id, seed_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT *, row_number() OVER (PARTITION BY target_id, seed_id ORDER BY roc_auc DESC, receptor_id) AS k FROM seedmetrics WHERE roc_auc IS NOT NULL)",
+    "ranks": "SELECT target_id, receptor_id, seed_id, ligand_id, y, row_number() OVER (PARTITION BY target_id, receptor_id, seed_id ORDER BY score, ligand_id) * 1.0 / count(*) OVER (PARTITION BY target_id, receptor_id, seed_id) AS r FROM labcells",
+    "utility": "SELECT target_id, receptor_id, count(*) AS replicates, round((avg(u) + min(u)) / 2, 9) AS utility FROM (SELECT target_id, receptor_id, seed_id, avg(exp(-20.0 * r)) FILTER (y = 1) - avg(exp(-20.0 * r)) FILTER (y = 0) AS u FROM ranks GROUP BY ALL) WHERE u IS NOT NULL GROUP BY ALL",
+    "best3": "SELECT target_id, receptor_id FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY roc_auc DESC NULLS LAST, average_precision DESC NULLS LAST, receptor_id) AS k FROM metrics) WHERE k <= 3",
     "pairs": "SELECT least(conformer_id_a, conformer_id_b) AS a, greatest(conformer_id_a, conformer_id_b) AS b, min(standardized_pocket_distance) AS distance FROM conformer_distances WHERE conformer_id_a <> conformer_id_b AND standardized_pocket_distance IS NOT NULL AND NOT isnan(standardized_pocket_distance) GROUP BY ALL",
     "twoway": "SELECT a, b, distance FROM pairs UNION ALL SELECT b, a, distance FROM pairs",
     "members": "SELECT conformer_id AS id, min(pool_id || '/' || source_type) AS cluster, min(pool_id) AS pool_id, min(resolution_angstrom) AS quality FROM conformers GROUP BY ALL",

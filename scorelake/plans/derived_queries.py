@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.numbers import settled
 from scorelake.functions.text import folded, trimmed
 from scorelake.operators import folds, geometry, normalize, ranking, resampling, series, sets, subsets
-from scorelake.operators.prefix import running_totals
+from scorelake.operators.prefix import row_numbers, running_totals
 from scorelake.plans.base import cells, labelled, labels, members, query, stored_labelled, summary
 from scorelake.plans.score_queries import _SPLIT, _TOPSEED, screening_metrics_by_replicate, split_of
 from scorelake.plans.spelling import folded_sql, trim_sql
@@ -25,7 +25,7 @@ def _top(rows: DataFrame) -> DataFrame:
 # Sets
 
 
-@query("WITH s AS (SELECT target_id, receptor_id, count(*) AS n FROM top GROUP BY ALL) SELECT target_id, a, b, sa.n AS size_a, sb.n AS size_b, common, sa.n + sb.n - common AS either, round(common * 1.0 / (sa.n + sb.n - common), 9) AS jaccard FROM (SELECT x.target_id, x.receptor_id AS a, z.receptor_id AS b, count(*) AS common FROM top x JOIN top z ON x.target_id = z.target_id AND x.ligand_id = z.ligand_id AND x.receptor_id < z.receptor_id GROUP BY ALL) JOIN s sa USING (target_id) JOIN s sb USING (target_id) WHERE sa.receptor_id = a AND sb.receptor_id = b", "top")
+@query("WITH s AS (SELECT target_id, receptor_id, count(*) AS n FROM top GROUP BY ALL), c AS (SELECT x.target_id, x.receptor_id AS a, z.receptor_id AS b, count(*) AS common FROM top x JOIN top z ON x.target_id = z.target_id AND x.ligand_id = z.ligand_id AND x.receptor_id < z.receptor_id GROUP BY ALL), p AS (SELECT sa.target_id, sa.receptor_id AS a, sb.receptor_id AS b, sa.n AS size_a, sb.n AS size_b FROM s sa JOIN s sb ON sa.target_id = sb.target_id AND sa.receptor_id < sb.receptor_id) SELECT target_id, a, b, size_a, size_b, coalesce(common, 0) AS common, size_a + size_b - coalesce(common, 0) AS either, round(coalesce(common, 0) * 1.0 / (size_a + size_b - coalesce(common, 0)), 9) AS jaccard FROM p LEFT JOIN c USING (target_id, a, b)", "top")
 def hit_set_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sets.set_pairs(_top(labelled(spark, d)), ["target_id"], "receptor_id", "ligand_id")
 
@@ -263,10 +263,36 @@ def successor_basins(spark: SparkSession, d: str) -> DataFrame:
     return geometry.successor_basins(_pairs(spark, d), members(spark, d))
 
 
-@query("WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS v, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.v - b.v) * (a.v - b.v) + (a.z - b.z) * (a.z - b.z)), 9) AS distance FROM p a JOIN p b ON a.vec_id < b.vec_id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.v - b.v) * (a.v - b.v) + (a.z - b.z) * (a.z - b.z)) <= CAST(0.05 AS DOUBLE)")
+_NEAR = 0.5
+_NEAR_SQL = f"""pt AS (SELECT conformer_id || '#' || i AS id, pool_id, [f[3 * i + 1], f[3 * i + 2], f[3 * i + 3]] AS v FROM (SELECT *, unnest(range(len(f) // 3)) AS i FROM (SELECT conformer_id, min(pool_id) AS pool_id, max(pocket_features) AS f FROM conformers WHERE pocket_features IS NOT NULL GROUP BY conformer_id))),
+ p AS (SELECT a.id AS a, b.id AS b, a.pool_id AS pool_a, b.pool_id AS pool_b, round(list_distance(a.v, b.v), 8) AS distance FROM pt a JOIN pt b ON a.id < b.id WHERE list_distance(a.v, b.v) <= CAST({_NEAR} AS DOUBLE))"""
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (id, pool_id, point): the 3-D points (triples of features) of every structure."""
+    rows = table(spark, d, "conformers").where("pocket_features IS NOT NULL").groupBy("conformer_id").agg(F.max("pocket_features").alias("f"), F.min("pool_id").alias("pool_id"))
+    triples = F.transform(F.sequence(F.lit(0), F.floor(F.size("f") / 3).cast("int") - 1), lambda i: F.slice("f", 3 * i + 1, 3))
+    each = rows.where("size(f) >= 3").select("conformer_id", "pool_id", F.posexplode(triples).alias("i", "point"))
+    return each.select(F.concat_ws("#", "conformer_id", "i").alias("id"), "pool_id", "point")
+
+
+def _near_points(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.vectors_within(_points(spark, d), "id", "point", _NEAR).withColumn("distance", F.round("distance", 8))
+
+
+@query(f"WITH {_NEAR_SQL} SELECT a, b, distance FROM p")
 def range_pairs(spark: SparkSession, d: str) -> DataFrame:
-    at = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xvz")))
-    return geometry.within_range(at, "vec_id", ["x", "v", "z"], 0.05)
+    """Pairs of points of any structures within a cutoff."""
+    return _near_points(spark, d)
+
+
+@query(f"WITH {_NEAR_SQL}, w AS (SELECT a AS id, pool_b AS pool_id, distance FROM p UNION ALL SELECT b, pool_a, distance FROM p) SELECT id, pool_id, count(*) AS near, min(distance) AS least, CASE WHEN min(distance) <= CAST(0.2 AS DOUBLE) THEN 'contact' ELSE 'near' END AS contact FROM w GROUP BY ALL")
+def range_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Per point and pool of its neighbours within the cutoff: how many, the least distance, and its class."""
+    pools = _points(spark, d).select(F.col("id").alias("b"), "pool_id")
+    both = geometry.both_ways(_near_points(spark, d)).join(pools, "b")
+    out = both.groupBy(F.col("a").alias("id"), "pool_id").agg(F.count("*").alias("near"), F.min("distance").alias("least"))
+    return out.withColumn("contact", F.when(F.col("least") <= 0.2, "contact").otherwise("near"))
 
 
 @query("SELECT label, CAST(i AS INTEGER) AS i, count(*) AS n, round(avg(x), 7) AS mean, round(stddev_pop(x), 7) AS fluctuation FROM (SELECT label, unnest(range(1, 65)) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL")
@@ -335,11 +361,11 @@ def title_exclusions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", "p_name", F.array_join(hits, ";").alias("matched"))
 
 
-@query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS turn FROM orders")
+@query("SELECT o_orderkey, o_custkey, turn, row_number() OVER (ORDER BY turn, o_custkey) AS position FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS turn FROM orders)")
 def round_robin_order(spark: SparkSession, d: str) -> DataFrame:
-    from scorelake.operators.prefix import row_numbers
-
-    return row_numbers(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "turn").select("o_orderkey", "o_custkey", "turn")
+    """All orders interleaved: the first of every customer, then the second of every customer, and so on."""
+    rows = row_numbers(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "turn")
+    return row_numbers(rows.select("o_orderkey", "o_custkey", "turn"), [], ["turn", "o_custkey"], "position")
 
 
 @query("SELECT n_name, r_name, c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL")

@@ -59,7 +59,7 @@ def score_distribution(spark: SparkSession, d: str) -> DataFrame:
     return scores.distribution(cells(spark, d), PAIR, "score")
 
 
-@query("WITH e AS (SELECT target_id, count(DISTINCT ligand_id) AS expected FROM ligands WHERE target_id IS NOT NULL GROUP BY ALL), h AS (SELECT target_id, receptor_id, count(DISTINCT ligand_id) AS scored FROM cells GROUP BY ALL), s AS (SELECT DISTINCT target_id, receptor_id FROM seed_scores) SELECT target_id, receptor_id, expected, coalesce(scored, 0) AS scored, greatest(0, expected - coalesce(scored, 0)) AS missing FROM s JOIN e USING (target_id) LEFT JOIN h USING (target_id, receptor_id)", "cells")
+@query("WITH l AS (SELECT DISTINCT target_id, ligand_id FROM ligands WHERE target_id IS NOT NULL AND ligand_id IS NOT NULL), e AS (SELECT target_id, count(*) AS expected FROM l GROUP BY ALL), h AS (SELECT c.target_id, receptor_id, count(DISTINCT l.ligand_id) AS scored, count(DISTINCT c.ligand_id) FILTER (l.ligand_id IS NULL) AS unknown FROM cells c LEFT JOIN l USING (target_id, ligand_id) GROUP BY ALL), s AS (SELECT DISTINCT target_id, receptor_id FROM seed_scores) SELECT target_id, receptor_id, expected, coalesce(scored, 0) AS scored, expected - coalesce(scored, 0) AS missing, coalesce(unknown, 0) AS unknown FROM s JOIN e USING (target_id) LEFT JOIN h USING (target_id, receptor_id)", "cells")
 def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
     return scores.completeness(cells(spark, d), table(spark, d, "ligands"), table(spark, d, "seed_scores"))
 
@@ -242,7 +242,7 @@ def top_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT target_id, receptor_id, ligand_id, avg(rn) OVER (PARTITION BY target_id, receptor_id, median_score) AS rk, median_score FROM (SELECT *, row_number() OVER (PARTITION BY target_id, receptor_id ORDER BY median_score) AS rn FROM summary))
- SELECT a.target_id, a.receptor_id AS a, b.receptor_id AS b, count(*) AS common, round(avg(least(a.median_score, b.median_score)), 9) AS mean_least, round(CASE WHEN var_pop(a.rk) * count(*) > 1e-18 AND var_pop(b.rk) * count(*) > 1e-18 THEN 1 - abs(covar_pop(a.rk, b.rk) / sqrt(var_pop(a.rk) * var_pop(b.rk))) END, 5) AS complementarity FROM r a JOIN r b ON a.target_id = b.target_id AND a.ligand_id = b.ligand_id AND a.receptor_id < b.receptor_id GROUP BY ALL HAVING count(*) >= 20""",
+ SELECT a.target_id, a.receptor_id AS a, b.receptor_id AS b, count(*) AS common, round(avg(least(a.median_score, b.median_score)), 9) AS mean_least, round(CASE WHEN var_pop(a.rk) * count(*) > 1e-18 AND var_pop(b.rk) * count(*) > 1e-18 THEN 1 - abs(covar_pop(a.rk, b.rk) / sqrt(var_pop(a.rk) * var_pop(b.rk))) END, 5) AS complementarity FROM r a JOIN r b ON a.target_id = b.target_id AND a.ligand_id = b.ligand_id AND a.receptor_id < b.receptor_id GROUP BY ALL""",
     "summary",
 )
 def pair_complementarity(spark: SparkSession, d: str) -> DataFrame:
@@ -251,6 +251,6 @@ def pair_complementarity(spark: SparkSession, d: str) -> DataFrame:
     full = rows.join(ranks, [*PAIR, "median_score"])
     a = full.select("target_id", "ligand_id", F.col("receptor_id").alias("a"), F.col("median_score").alias("sa"), F.col("rk").alias("ra"))
     b = full.select("target_id", "ligand_id", F.col("receptor_id").alias("b"), F.col("median_score").alias("sb"), F.col("rk").alias("rb"))
-    pairs = a.join(b, ["target_id", "ligand_id"]).where("a < b").groupBy("target_id", "a", "b").agg(F.count("*").alias("common"), F.avg(F.least("sa", "sb")).alias("mean_least"), F.round(1 - F.abs(ranking.pearson(F.col("ra"), F.col("rb"))), 5).alias("complementarity"))
-    return pairs.where("common >= 20")
+    both = a.join(b, ["target_id", "ligand_id"]).where("a < b")
+    return both.groupBy("target_id", "a", "b").agg(F.count("*").alias("common"), F.avg(F.least("sa", "sb")).alias("mean_least"), F.round(1 - F.abs(ranking.pearson(F.col("ra"), F.col("rb"))), 5).alias("complementarity"))
 

@@ -25,8 +25,11 @@ def read_score_files(spark: SparkSession, paths: list[str], required: list[str])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with an explicit schema; rows that don't fit it fail the read."""
-    return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
+    """CSV with an explicit schema; rows that don't fit it fail the read, and so does a table without rows."""
+    rows = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    return rows
 
 
 def write_csv(tables: list[DataFrame], path: str) -> None:
@@ -49,11 +52,22 @@ def read_fixed_width(spark: SparkSession, path: str, fields: dict[str, tuple[int
     return rows.select(*(F.trim(F.substring("value", a, n)).try_cast(t).alias(name) for name, (a, n, t) in fields.items()))
 
 
-def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of lines 'key = value'; '#' starts a comment."""
+def read_settings(spark: SparkSession, path: str, required: list[str] | None = None) -> DataFrame:
+    """(key, value) of lines 'key = value'; '#' starts a comment. ``required`` keys that are missing are an error."""
     line = F.trim(F.split("value", "#")[0])
     parts = F.split(line, "=", 2)
-    return spark.read.text(path).where(F.size(parts) == 2).select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+    found = spark.read.text(path).where(F.size(parts) == 2).select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+    if required:
+        have = {r[0] for r in found.where(F.col("key").isin(*required)).select("key").distinct().collect()}
+        if missing := [k for k in required if k not in have]:
+            raise ValueError(f"missing settings: {', '.join(missing)}")
+    return found
+
+
+def read_log_table(spark: SparkSession, path: str, pattern: str, fields: dict[str, str]) -> DataFrame:
+    """The lines of log texts that match ``pattern``, its groups as the ``fields`` (name -> type) in order; unreadable values are null."""
+    lines = spark.read.text(path).where(F.col("value").rlike(pattern))
+    return lines.select(*(F.regexp_extract("value", pattern, i).try_cast(t).alias(name) for i, (name, t) in enumerate(fields.items(), 1)))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -74,8 +74,10 @@ def test_running_totals_of_a_hot_group(spark):
 
 def test_sets(spark):
     members = spark.createDataFrame([("t", "x", m) for m in "ab"] + [("t", "y", m) for m in "bc"] + [("t", "z", "d")], "t string, o string, m string")
-    pairs = sets.set_pairs(members, ["t"], "o", "m").collect()
-    assert [(p.a, p.b) for p in pairs] == [("x", "y")] and pairs[0].jaccard == pytest.approx(1 / 3)
+    owners = spark.createDataFrame([("t", o) for o in "xyzvw"], "t string, o string")
+    pairs = {(p.a, p.b): p.jaccard for p in sets.set_pairs(members, ["t"], "o", "m", owners).collect()}
+    assert len(pairs) == 10 and pairs["x", "y"] == pytest.approx(1 / 3) and pairs["v", "w"] == 1 and pairs["x", "z"] == pairs["v", "x"] == 0
+    assert len(sets.set_pairs(members, ["t"], "o", "m").collect()) == 3
 
 
 def test_greedy_and_exact_subsets(spark):
@@ -142,3 +144,10 @@ def test_signed_geometric_mean(spark):
     df = spark.createDataFrame([("p", 2.0), ("p", 8.0), ("n", -2.0), ("n", -8.0), ("m", -2.0), ("m", 3.0), ("z", 0.0), ("z", 1.0), ("o", -1.0), ("o", -1.0), ("o", 8.0)], "g string, v double")
     got = {r.g: r.m for r in df.groupBy("g").agg(normalize.signed_geometric_mean(F.col("v")).alias("m")).collect()}
     assert got == {"p": pytest.approx(4), "n": pytest.approx(-4), "m": None, "z": 0, "o": pytest.approx(2)}
+
+
+def test_completeness_compares_the_sets(spark):
+    cells = spark.createDataFrame([("t", "r", "a"), ("t", "r", "z"), ("t", "r", "z")], "target_id string, receptor_id string, ligand_id string")
+    entities = spark.createDataFrame([("t", "a"), ("t", "b"), (None, "c")], "target_id string, ligand_id string")
+    got = scores.completeness(cells, entities, cells).first()
+    assert (got.expected, got.scored, got.missing, got.unknown) == (2, 1, 1, 1)
