@@ -51,6 +51,12 @@ def scope_summary(df: DataFrame, scope: str, keys: list[str], value: str, entity
     return rows.select(F.when(F.col("__all") == 1, "ALL").otherwise(F.col(scope)).alias("scope"), *keys, "row_count", "entities", "mean_value")
 
 
+def exactly_one(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` of one row per ``keys``, or an error when it is read."""
+    held = df.groupBy(F.lit(1).alias("__one")).agg(F.count("*").alias("__n"), F.max(F.struct(*df.columns)).alias("__row"))
+    return held.where(F.coalesce(F.assert_true(F.col("__n") == 1, F.lit(f"not exactly one row of {', '.join(keys)}")).cast("string"), F.lit("")) == "").select("__row.*")
+
+
 def histogram_thresholds(df: DataFrame, groups: list[str], value: str, densities: list[float]) -> DataFrame:
     """(group, density, threshold): the smallest value whose cumulative count reaches ceil(density * n); values are counted first."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("__c"))

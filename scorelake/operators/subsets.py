@@ -64,15 +64,16 @@ def greedy_path(linear: DataFrame, pairs: DataFrame, scope: list[str], scorer: s
     return chosen
 
 
-def maxmin_path(distances: DataFrame, scope: list[str], steps: int) -> DataFrame:
-    """(scope, step, id, distance): start from the least id, then always the id farthest from those chosen (ties: least id).
+def maxmin_path(distances: DataFrame, scope: list[str], steps: int, total: bool = False) -> DataFrame:
+    """(scope, step, id, distance): start from the least id, then always the id farthest from those chosen (ties: least id); with ``total`` the one with the greatest sum of distances to them (to 9 places).
 
     ``distances``: scope, a, b, distance, both directions. One join and aggregate per step for all scopes at once.
     """
     ids = distances.select(*scope, F.col("a").alias("id")).distinct()
     chosen = materialize(ids.groupBy(*scope).agg(F.min("id").alias("id")).select(*scope, F.lit(1).alias("step"), "id", F.lit(None).cast("double").alias("distance")), "maxmin")
+    measure = F.round(F.sum("distance"), 9) if total else F.min("distance")
     for step in range(2, steps + 1):
-        near = distances.join(chosen.select(*scope, F.col("id").alias("b")), [*scope, "b"]).groupBy(*scope, F.col("a").alias("id")).agg(F.min("distance").alias("distance"))
+        near = distances.join(chosen.select(*scope, F.col("id").alias("b")), [*scope, "b"]).groupBy(*scope, F.col("a").alias("id")).agg(measure.alias("distance"))
         left = near.join(chosen.select(*scope, "id"), [*scope, "id"], "left_anti")
         far = left.groupBy(*scope).agg(F.min(F.struct((-F.col("distance")).alias("d"), "id")).alias("f"))
         chosen = materialize(chosen.unionAll(far.select(*scope, F.lit(step).alias("step"), F.col("f.id").alias("id"), (-F.col("f.d")).alias("distance"))), "maxmin")
