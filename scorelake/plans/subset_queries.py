@@ -158,7 +158,7 @@ _PAIRTERMS = """pt AS (SELECT target_id, a, b, CAST(sum(n) AS BIGINT) AS common,
  CASE WHEN var_pop(x.r) * count(*) > 1e-18 AND var_pop(z.r) * count(*) > 1e-18 THEN covar_pop(x.r, z.r) / sqrt(var_pop(x.r) * var_pop(z.r)) END AS c FROM ranks x JOIN ranks z ON x.target_id = z.target_id AND x.seed_id = z.seed_id AND x.ligand_id = z.ligand_id AND x.receptor_id < z.receptor_id GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query(f"WITH {_PAIRTERMS} SELECT pt.target_id, a, b, common, pt.utility, round(pt.utility - greatest(p.utility, q.utility), 8) AS gain, round(redundancy, 5) AS redundancy FROM pt LEFT JOIN utility p ON p.target_id = pt.target_id AND p.receptor_id = a LEFT JOIN utility q ON q.target_id = pt.target_id AND q.receptor_id = b", "utility")
+@query(f"WITH {_PAIRTERMS} SELECT pt.target_id, a, b, common, pt.utility, round(pt.utility - greatest(p.utility, q.utility), 9) AS gain, round(redundancy, 5) AS redundancy FROM pt LEFT JOIN utility p ON p.target_id = pt.target_id AND p.receptor_id = a LEFT JOIN utility q ON q.target_id = pt.target_id AND q.receptor_id = b", "utility")
 def pair_rank_terms(spark: SparkSession, d: str) -> DataFrame:
     """Per pair of scorers: utility of the better rank, its gain over the better scorer alone, and stable redundancy."""
     ranks = materialize(_ranks(spark, d), "ranks")
@@ -166,7 +166,7 @@ def pair_rank_terms(spark: SparkSession, d: str) -> DataFrame:
     pairs = utilities.pair_rank_terms(ranks, ["target_id"], "receptor_id", "seed_id", "ligand_id").withColumn("utility", settled("utility"))
     one = lambda t: single.select("target_id", F.col("receptor_id").alias(t), F.col("utility").alias(f"u_{t}"))
     both = pairs.join(one("a"), ["target_id", "a"], "left").join(one("b"), ["target_id", "b"], "left")
-    return both.select("target_id", "a", "b", "common", "utility", F.round(F.col("utility") - F.greatest("u_a", "u_b"), 8).alias("gain"), F.round("redundancy", 5).alias("redundancy"))
+    return both.select("target_id", "a", "b", "common", "utility", (F.col("utility") - F.greatest("u_a", "u_b")).alias("gain"), F.round("redundancy", 5).alias("redundancy"))
 
 
 _Z = "z AS (SELECT target_id, receptor_id, round(coalesce((utility - avg(utility) OVER w) / nullif(stddev_pop(utility) OVER w, 0), 0), 9) AS z FROM utility WINDOW w AS (PARTITION BY target_id))"
@@ -214,12 +214,12 @@ def deficit_distribution(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("target_id", (F.col("d1") + F.col("d2") + F.col("d3")).alias("deficit")).agg(F.count("*").alias("subsets"))
 
 
-@query("SELECT target_id, receptor_id, level, round(round_even(utility / level, 0) * level, 8) AS quantized, round(abs(round_even(utility / level, 0) * level - utility), 8) AS moved FROM utility CROSS JOIN (SELECT unnest([CAST(0.01 AS DOUBLE), 0.05, 0.1]) AS level)", "utility")
+@query("SELECT target_id, receptor_id, level, round(round_even(utility / level, 0) * level, 9) AS quantized, round(abs(round_even(utility / level, 0) * level - utility), 9) AS moved FROM utility CROSS JOIN (SELECT unnest([CAST(0.01 AS DOUBLE), 0.05, 0.1]) AS level)", "utility")
 def quantized_coefficients(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients rounded to grids of three widths, and how far that moves them."""
     rows = _utility(_ranks(spark, d)).withColumn("level", F.explode(F.array(F.lit(0.01), F.lit(0.05), F.lit(0.1))))
     grid = F.rint(F.col("utility") / F.col("level")) * F.col("level")
-    return rows.select(*PAIR, "level", F.round(grid, 8).alias("quantized"), F.round(F.abs(grid - F.col("utility")), 8).alias("moved"))
+    return rows.select(*PAIR, "level", grid.alias("quantized"), F.abs(grid - F.col("utility")).alias("moved"))
 
 
 @query(
@@ -243,13 +243,13 @@ def selection_stability(spark: SparkSession, d: str) -> DataFrame:
 # Profiles over sizes
 
 
-@query("WITH p AS (SELECT target_id, fold, k, round(value, 9) AS value FROM profile), b AS (SELECT target_id, fold, max(value) AS best, arg_max(k, (value, -k)) AS k FROM p GROUP BY ALL) SELECT p.target_id, p.k, count(*) AS folds, round(avg(value), 8) AS mean_value, round(max(best - value), 8) AS largest_gap, count(*) FILTER (best - value > 0.02) AS far_folds, count(*) FILTER (b.k = p.k) AS wins FROM p JOIN b USING (target_id, fold) GROUP BY ALL", "profile")
+@query("WITH p AS (SELECT target_id, fold, k, round(value, 9) AS value FROM profile), b AS (SELECT target_id, fold, max(value) AS best, arg_max(k, (value, -k)) AS k FROM p GROUP BY ALL) SELECT p.target_id, p.k, count(*) AS folds, round(avg(value), 9) AS mean_value, round(max(best - value), 9) AS largest_gap, count(*) FILTER (best - value > 0.02) AS far_folds, count(*) FILTER (b.k = p.k) AS wins FROM p JOIN b USING (target_id, fold) GROUP BY ALL", "profile")
 def size_summary(spark: SparkSession, d: str) -> DataFrame:
     """Per target and size: mean over the replicates, largest gap to the replicate's best, replicates beyond the tolerance, and where it is best."""
     rows = materialize(size_profile(spark, d).withColumn("value", settled("value")), "profile")
     best = rows.groupBy("target_id", "fold").agg(F.max("value").alias("best"), F.max(F.struct("value", (-F.col("k")).alias("k")))["k"].alias("less"))
     gap = F.col("best") - F.col("value")
-    return rows.join(best, ["target_id", "fold"]).groupBy("target_id", "k").agg(F.count("*").alias("folds"), F.round(F.avg("value"), 8).alias("mean_value"), F.round(F.max(gap), 8).alias("largest_gap"), F.count_if(gap > 0.02).alias("far_folds"), F.count_if(-F.col("less") == F.col("k")).alias("wins"))
+    return rows.join(best, ["target_id", "fold"]).groupBy("target_id", "k").agg(F.count("*").alias("folds"), F.avg("value").alias("mean_value"), F.max(gap).alias("largest_gap"), F.count_if(gap > 0.02).alias("far_folds"), F.count_if(-F.col("less") == F.col("k")).alias("wins"))
 
 
 @query("WITH p AS (SELECT target_id, fold, k, round(value, 9) AS value FROM profile) SELECT target_id, fold, arg_max(k, (value, -k)) AS best_k, max(value) AS best_value, count(*) AS sizes, round(max(value) FILTER (k = 2) - max(value) FILTER (k = 1), 8) AS second_gain FROM p GROUP BY ALL", "profile")
@@ -261,15 +261,15 @@ def fold_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT target_id, k, round(k * avg(round(value, 9)), 8) AS benefit FROM profile GROUP BY target_id, k), s AS (SELECT x.target_id, x.k, max(CASE WHEN z.k > x.k THEN (x.benefit - z.benefit) / (x.k - z.k) END) AS lo, min(CASE WHEN z.k < x.k THEN (x.benefit - z.benefit) / (x.k - z.k) END) AS hi FROM e x LEFT JOIN e z ON z.target_id = x.target_id AND z.k <> x.k GROUP BY ALL)
- SELECT target_id, k, round(lo, 6) AS from_cost, round(hi, 6) AS to_cost, coalesce(round(lo, 6) <= round(hi, 6), true) AS supported FROM s""",
+    """WITH e AS (SELECT target_id, k, round(k * avg(round(value, 9)), 9) AS benefit FROM profile GROUP BY target_id, k), s AS (SELECT x.target_id, x.k, max(CASE WHEN z.k > x.k THEN (x.benefit - z.benefit) / (x.k - z.k) END) AS lo, min(CASE WHEN z.k < x.k THEN (x.benefit - z.benefit) / (x.k - z.k) END) AS hi FROM e x LEFT JOIN e z ON z.target_id = x.target_id AND z.k <> x.k GROUP BY ALL)
+ SELECT target_id, k, round(lo, 9) AS from_cost, round(hi, 9) AS to_cost, coalesce(round(lo, 9) <= round(hi, 9), true) AS supported FROM s""",
     "profile",
 )
 def supported_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Per target and size: the costs per scorer at which that size is the best trade."""
     rows = size_profile(spark, d).withColumn("value", settled("value"))
-    benefit = materialize(rows.groupBy("target_id", "k").agg(F.round(F.col("k") * F.avg("value"), 8).alias("benefit")), "benefit")
-    out = utilities.supported_intervals(benefit, ["target_id"], "k", "benefit").withColumns({c: F.round(c, 6) for c in ("from_cost", "to_cost")})
+    benefit = materialize(rows.groupBy("target_id", "k").agg(settled(F.col("k") * F.avg("value")).alias("benefit")), "benefit")
+    out = utilities.supported_intervals(benefit, ["target_id"], "k", "benefit").withColumns({c: settled(c) for c in ("from_cost", "to_cost")})
     return out.withColumn("supported", F.coalesce(F.col("from_cost") <= F.col("to_cost"), F.lit(True)))
 
 
