@@ -51,7 +51,7 @@ def release(*tables: DataFrame) -> None:
     """Delete stored tables that no later plan reads, such as those of an earlier round."""
     for table in tables:
         if path := _stored.pop(table, None):
-            _delete(table.sparkSession, path)
+            delete_path(table.sparkSession, path)
             with contextlib.suppress(ValueError):
                 _written.remove((table.sparkSession, path))
 
@@ -64,11 +64,12 @@ def scratch() -> Iterator[None]:
         yield
     finally:
         for spark, path in _written[kept:]:
-            _delete(spark, path)
+            delete_path(spark, path)
         del _written[kept:]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -78,4 +79,4 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for spark, path in _written:
         with contextlib.suppress(Exception):
-            _delete(spark, path)
+            delete_path(spark, path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.operators.scores import upsert
+from scorelake.storage import delete_path
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -30,13 +31,46 @@ def run_to_table(stream: DataFrame, table: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def upsert_stream(stream: DataFrame, folder: str, key: list[str], version: str, checkpoint: str) -> None:
-    """Merge a stream into versions of a keyed table below ``folder``: batch n writes v=n from v=n-1, so a repeated batch writes the same."""
+def _versions(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """All rows of a keyed table below ``folder`` with their bucket and version."""
+    whole = T.StructType([*schema.fields, T.StructField("v", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(whole).option("basePath", folder).parquet(f"{folder}/v=*")
+
+
+def _held(versions: DataFrame, before: int | None = None) -> list[tuple[int, int]]:
+    """(bucket, version) of all that is stored; as many as there are buckets, times the two versions kept of each."""
+    rows = versions.select("bucket", "v").distinct()
+    return [(r.bucket, r.v) for r in (rows if before is None else rows.where(F.col("v") < before)).collect()]
+
+
+def upsert_stream(stream: DataFrame, folder: str, key: list[str], version: str, checkpoint: str, buckets: int = 64) -> None:
+    """Merge a stream into a keyed table below ``folder``, bucketed by a hash of the key.
+
+    Batch n writes the buckets it touches as version n from their last earlier version, so a
+    repeated batch writes the same, and untouched buckets aren't rewritten. Of each bucket the last
+    two versions are kept.
+    """
     spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{folder}/v={number - 1}") if number else spark.createDataFrame([], schema)
-        upsert(before, batch, key, version).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = {r.bucket for r in placed.select("bucket").distinct().collect()}
+        if not touched:
+            return
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        held = [x for x in _held(_versions(spark, folder, schema), number) if x[0] in touched] if there else []
+        last = {b: max(v for c, v in held if c == b) for b, _ in held}
+        current = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
+        if last:
+            wanted = F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(v).cast("long").alias("v")) for b, v in sorted(last.items())))
+            stored = _versions(spark, folder, schema).where(F.col("bucket").isin(*last) & F.col("v").isin(*set(last.values())))
+            current = stored.where(F.array_contains(wanted, F.struct("bucket", "v"))).drop("v")
+        merged = upsert(current, placed, ["bucket", *key], version)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={number}")
+        for bucket, old in held:
+            if old < last[bucket]:
+                delete_path(spark, f"{folder}/v={old}/bucket={bucket}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
@@ -54,6 +88,10 @@ def complete_counts(stream: DataFrame, time: str, key: str, width: str, folder:
 
 
 def latest_version(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """The last version that ``upsert_stream`` wrote."""
-    versions = spark.read.schema(schema).option("basePath", folder).parquet(f"{folder}/v=*")
-    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+    """The keyed table that ``upsert_stream`` wrote: of each bucket the last version."""
+    versions = _versions(spark, folder, schema)
+    last: dict[int, int] = {}
+    for bucket, v in _held(versions):
+        last[bucket] = max(v, last.get(bucket, v))
+    wanted = F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(v).cast("long").alias("v")) for b, v in sorted(last.items())))
+    return versions.where(F.array_contains(wanted, F.struct("bucket", "v")) if last else F.lit(False)).drop("v", "bucket")

@@ -53,3 +53,16 @@ def test_upsert_stream(spark, folder, tmp_path):
     last = spark.read.parquet(f"{tmp_path}/t/v=3")
     batch = latest_rows(rows, key, "loaded_at")
     assert last.count() == batch.count() and last.select(*key, "loaded_at").exceptAll(batch.select(*key, "loaded_at")).count() == 0
+
+
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    schema = "k string, n long, x double"
+    stored = str(tmp_path / "keyed")
+    for turn, rows in enumerate(([(f"k{i}", 1, float(i)) for i in range(200)], [("k7", 2, 70.0), ("k8", 0, 80.0)], [("k7", 3, 71.0), ("new", 1, 1.0)], [("k7", 4, 72.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = events.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 10)
+        events.upsert_stream(stream, stored, ["k"], "n", str(tmp_path / "checkpoint"), buckets=16)
+    got = {r.k: (r.n, r.x) for r in events.latest_version(spark, stored, stream.schema).collect()}
+    assert len(got) == 201 and got["k7"] == (4, 72.0) and got["k8"] == (1, 8.0) and got["new"] == (1, 1.0)
+    folders = [p.parent.name for p in (tmp_path / "keyed").glob("v=*/bucket=*")]
+    assert folders.count("v=3") == 1 and folders.count("v=1") <= 2
