@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from scorelake.llm import components, splits
 
 SCHEMA = "ligand_id string, label string, split_group_id string, scaffold_smiles string, source_molecule_id string, document_id string, outer_fold int, record string, anchor string"
@@ -81,3 +83,18 @@ def test_odd_targets_and_empty(spark):
     assert splits.assign_splits(df.limit(0), targets(spark, 0.6, 0.2, 0.2)).count() == 0
     got = splits.assign_splits(df, targets(spark, 3.0, None, -1.0)).collect()
     assert [(r.ligand_id, r.split_name) for r in got] == [("A", "train")]
+
+
+def test_sets_on_both_sides_of_the_big_share(spark, monkeypatch):
+    """Sets just above and just below the share at which they are placed by deficit stay whole, and sizes near the targets."""
+    rows = [(f"L{i:05d}", None, f"g{i // 5}" if i < 1000 else f"h{i // 4}", None, None, None, None, "active" if i % 9 == 0 else "decoy") for i in range(2000)]
+    df = spark.createDataFrame(rows, "ligand_id string, target_id string, split_group_id string, scaffold_smiles string, canonical_smiles string, source_molecule_id string, document_id string, label string")
+    targets = spark.createDataFrame([("train", 0.6), ("validation", 0.2), ("test", 0.2)], "split_name string, target_share double")
+    monkeypatch.setattr(splits, "BIG", 5 / 2000)
+    got = splits.assign_splits(df, targets).collect()
+    sets = {}
+    for r in got:
+        sets.setdefault(r.anchor, set()).add(r.split_name)
+    sizes = {n: sum(r.split_name == n for r in got) / 2000 for n in ("train", "validation", "test")}
+    assert len(got) == 2000 and all(len(x) == 1 for x in sets.values())
+    assert sizes["train"] == pytest.approx(0.6, abs=0.02) and sizes["test"] == pytest.approx(0.2, abs=0.02)
