@@ -20,6 +20,8 @@ def spark():
     from scorelake.session import local_session
 
     session = local_session("4", 4, "4g")
+    # Tables are tiny here and plans many: compiling them takes longer than interpreting them.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()
 
