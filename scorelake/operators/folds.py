@@ -43,6 +43,28 @@ def fill_by_groups(df: DataFrame, scope: list[str], group: str, budget: int, see
     return running_total(sizes, scope, ["__draw", group], "size", "rows_before").where(F.col("rows_before") < budget).drop("__draw")
 
 
+def exact_fill(df: DataFrame, scope: list[str], group: str, room: int, seed: str) -> DataFrame:
+    """(scope, group, size, room_left): whole groups in hash order, each taken if it still fits into ``room`` rows, else passed over.
+
+    Going through the groups one by one isn't needed: of those that could still fit, the longest
+    beginning of the order whose sizes fit is taken at once, then what no longer fits is dropped. The
+    group that ended a beginning is among the dropped ones, so every round ends with less room or no
+    group. Null groups are left out; an empty table gives no row.
+    """
+    sizes = df.where(F.col(group).isNotNull()).groupBy(*scope, group).agg(F.count("*").alias("size")).withColumn("__draw", draw(seed, group))
+    left = materialize(sizes.withColumn("__room", F.lit(room).cast("long")).where(F.col("size") <= F.col("__room")), "left")
+    taken = None
+    while not left.isEmpty():
+        along = running_totals(left, scope, ["__draw", group], {"__before": "size"})
+        placed = materialize(along.withColumn("__after", F.col("__before") + F.col("size")), "placed")
+        now = placed.where("__after <= __room").select(*scope, group, "size", (F.col("__room") - F.col("__after")).alias("room_left"))
+        taken = now if taken is None else taken.unionAll(now)
+        rest = now.groupBy(*scope).agg(F.min("room_left").alias("__rest"))
+        later = placed.where("__after > __room").join(rest, scope)
+        left = materialize(later.where("size <= __rest").select(*scope, group, "size", "__draw", F.col("__rest").alias("__room")), "left")
+    return sizes.select(*scope, group, "size", F.lit(0).cast("long").alias("room_left")).limit(0) if taken is None else taken
+
+
 def balanced_group_folds(df: DataFrame, scope: list[str], group: str, folds: int) -> DataFrame:
     """(scope, group, size, fold): whole groups, largest first, dealt to and fro over the folds."""
     sizes = df.groupBy(*scope, group).agg(F.count("*").alias("size")).withColumn("__small", -F.col("size"))

@@ -5,10 +5,13 @@ Rows are reduced to one per entity first; replicates multiply those, never the r
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.operators.prefix import row_numbers
+from scorelake.storage import materialize
 
 
 def uniform(seed: str, *parts: str) -> Column:
@@ -67,3 +70,35 @@ def permutation_gap(df: DataFrame, scope: list[str], unit: str, y: str, value: s
     placed = row_numbers(rows.select(*scope, "replicate", "u", unit, "v"), [*scope, "replicate"], ["u", unit], "r").join(whole.select(*scope, "p"), scope)
     gaps = placed.groupBy(*scope, "replicate").agg((F.avg(F.when(F.col("r") > F.col("p"), F.col("v"))) - F.avg(F.when(F.col("r") <= F.col("p"), F.col("v")))).alias("g"))
     return gaps.join(whole, scope).groupBy(*scope).agg(F.first("gap").alias("gap"), F.count("g").alias("permutations"), ((1 + F.count_if(F.col("g") >= F.col("gap") - 1e-9)) / (1 + F.count("g"))).alias("p_value"))
+
+
+def permutation_neighbours(nearest: DataFrame, ids: DataFrame, scope: list[str], replicates: int, seed: str) -> DataFrame:
+    """Per scope: ids whose nearest other id has their label, and p = (1 + permutations with at least as many) / (1 + permutations).
+
+    ``nearest``: a, b; ``ids``: scope, id, label. A permutation gives the id at a place of its hash
+    order the label of the id at that place of the id order; both orders are running totals.
+    """
+    placed = materialize(row_numbers(ids.select(*scope, "id", "label"), scope, ["id"], "r"), "placed")
+    drawn = placed.select(*scope, "id").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("u", uniform(seed, "replicate", "id"))
+    moved = row_numbers(drawn, [*scope, "replicate"], ["u", "id"], "r").join(placed.select(*scope, "r", "label"), [*scope, "r"]).select(*scope, "id", "replicate", "label")
+    given = materialize(moved.unionByName(placed.select(*scope, "id", F.lit(-1).alias("replicate"), "label")), "given")
+    other = given.select(F.col("id").alias("b"), "replicate", F.col("label").alias("other"))
+    both = given.join(nearest.select(F.col("a").alias("id"), "b"), "id").join(other, ["b", "replicate"])
+    each = both.groupBy(*scope, "replicate").agg(F.count("*").alias("ids"), F.count_if(F.col("label") == F.col("other")).alias("same"))
+    real = each.where("replicate = -1").select(*scope, "ids", F.col("same").alias("observed"))
+    against = each.where("replicate >= 0").join(real.select(*scope, "observed"), scope).groupBy(*scope).agg(F.count("*").alias("permutations"), F.avg("same").alias("expected"), F.count_if(F.col("same") >= F.col("observed")).alias("__ge"))
+    return real.join(against, scope).select(*scope, "ids", "observed", "expected", "permutations", ((1 + F.col("__ge")) / (1 + F.col("permutations"))).alias("p_value"))
+
+
+def noisy_choice(values: DataFrame, scope: list[str], member: str, value: str, levels: list[float], draws: int, seed: str) -> DataFrame:
+    """Per scope and level: how often the member of the greatest value stays so when every value gets normal noise of ``level`` standard deviations of the scope's values.
+
+    One row per member, level and draw; noise comes from hashes of draw, scope and member.
+    """
+    spread = values.groupBy(*scope).agg(F.stddev_pop(value).alias("__sd"), F.max(F.struct(F.col(value).alias("v"), F.col(member).alias("m"))).alias("__best"))
+    wide = values.join(spread, scope).withColumn("level", F.explode(F.array(*(F.lit(float(x)) for x in levels)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u, w = uniform(f"{seed}1", "draw", *scope, member), uniform(f"{seed}2", "draw", *scope, member)
+    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * math.pi * w)
+    noisy = wide.withColumn("__v", F.col(value) + F.col("level") * F.col("__sd") * normal)
+    best = noisy.groupBy(*scope, "level", "draw").agg(F.max(F.struct(F.col("__v").alias("v"), F.col(member).alias("m")))["m"].alias("found"), F.first("__best")["m"].alias("best"))
+    return best.groupBy(*scope, "level").agg(F.first("best").alias("best"), F.count("*").alias("draws"), F.countDistinct("found").alias("different"), F.avg((F.col("found") == F.col("best")).cast("double")).alias("share_kept"))

@@ -101,3 +101,21 @@ def linear_fit(df: DataFrame, groups: list[str], x: list[str], y: str, ridge: fl
     det = aa * bb - ab * ab
     first, second = F.try_divide(ay * bb - by * ab, det), F.try_divide(by * aa - ay * ab, det)
     return fit.select(*groups, "n", first.alias("slope_1"), second.alias("slope_2"), (F.col("my") - first * F.col("ma") - second * F.col("mb")).alias("intercept"))
+
+
+def left_out_fit(df: DataFrame, scope: str, x: str, y: str, ridge: float) -> DataFrame:
+    """Per scope: ridge line of y on x fitted on all other scopes, and its root mean square error on the scope's own rows.
+
+    Everything follows from sums per scope: those of the others are the totals less the own. Rows
+    with a null are left out; without rows elsewhere the fit is null.
+    """
+    a, b = F.col(x), F.col(y)
+    sums = {"n": F.count(y), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(a * a), "sxy": F.sum(a * b), "syy": F.sum(b * b)}
+    own = df.where(a.isNotNull() & b.isNotNull()).groupBy(scope).agg(*(v.alias(k) for k, v in sums.items()))
+    whole = own.agg(*(F.sum(k).alias(f"t_{k}") for k in sums))
+    c = {k: F.col(f"t_{k}") - F.col(k) for k in sums}
+    slope = F.try_divide(c["sxy"] - F.try_divide(c["sx"] * c["sy"], c["n"]), c["sxx"] - F.try_divide(c["sx"] * c["sx"], c["n"]) + ridge)
+    fit = own.join(F.broadcast(whole)).select(scope, *sums, c["n"].alias("n_fit"), slope.alias("slope"), (F.try_divide(c["sy"], c["n"]) - slope * F.try_divide(c["sx"], c["n"])).alias("intercept"))
+    m, i = F.col("slope"), F.col("intercept")
+    squares = F.expr("syy + n * intercept * intercept + slope * slope * sxx - 2 * intercept * sy - 2 * slope * sxy + 2 * slope * intercept * sx")
+    return fit.select(scope, F.col("n").alias("n_held_out"), "n_fit", m.alias("slope"), i.alias("intercept"), F.sqrt(F.when(squares > 0, squares / F.col("n")).when(squares <= 0, 0.0)).alias("rmse"))

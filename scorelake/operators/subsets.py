@@ -22,6 +22,22 @@ def enumerate_subsets(members: DataFrame, scope: list[str], member: str, size: i
     return out.withColumn("subset", F.concat_ws("+", *(f"m{k}" for k in range(1, size + 1))))
 
 
+def powerset(members: DataFrame, scope: list[str], member: str, most: int = 16) -> DataFrame:
+    """(scope, mask, member): every non-empty subset of a chosen few members, as one row per subset and member; an error where a scope has more than ``most``."""
+    held = members.groupBy(*scope).agg(F.sort_array(F.collect_set(member)).alias("__all"))  # chosen members only, see ``most``
+    n = F.size("__all")
+    few = held.where(F.coalesce(F.assert_true(n <= most, F.lit(f"more than {most} members for all subsets")).cast("string"), F.lit("")) == "")
+    masks = few.withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size(__all)) - 1)")))
+    return masks.select(*scope, "mask", F.posexplode("__all").alias("__i", member)).where(F.expr("shiftright(mask, __i) & 1 = 1")).drop("__i")
+
+
+def design_terms(subsets: DataFrame, scope: list[str], size: int) -> DataFrame:
+    """(scope, subset, term): the terms that are 1 for a subset, its members and their pairs; a sparse design matrix of any width."""
+    single = [F.col(f"m{k}") for k in range(1, size + 1)]
+    double = [F.concat_ws("*", f"m{i}", f"m{j}") for i in range(1, size + 1) for j in range(i + 1, size + 1)]
+    return subsets.select(*scope, "subset", F.explode(F.array(*single, *double)).alias("term"))
+
+
 def coefficients(scores: DataFrame, scope: list[str], scorer: str, entity: str, score: str, y: str) -> tuple[DataFrame, DataFrame]:
     """Linear (scorer: class gap of the mean score) and quadratic (pair: share of common entities on which both agree in sign about their mean) coefficients."""
     means = scores.groupBy(*scope, scorer).agg(F.avg(score).alias("mean"), (F.avg(F.when(F.col(y) == 0, F.col(score))) - F.avg(F.when(F.col(y) == 1, F.col(score)))).alias("gap"))

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 _stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
@@ -31,8 +32,10 @@ def scratch_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError(f"set {_KEY} to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="scorelake-")
-        spark.conf.set(_KEY, folder)
+        # The setting can't be changed in a running session, so the folder is remembered here.
+        app = spark.sparkContext.applicationId
+        folder = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="scorelake-")
+        _own[app] = folder
     return folder
 
 
