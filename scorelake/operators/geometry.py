@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -60,24 +62,28 @@ def within_range(points: DataFrame, key: str, coordinates: list[str], cutoff: fl
     return vectors_within(whole.select(key, F.array(*(F.col(c).cast("double") for c in coordinates)).alias("point")), key, "point", cutoff, coordinates=len(coordinates))
 
 
-def vectors_within(points: DataFrame, key: str, vector: str, cutoff: float, coordinates: int = 3) -> DataFrame:
-    """(a, b, distance) of different vectors of one length at most ``cutoff`` apart, a before b.
+def vectors_within(points: DataFrame, key: str, vector: str, cutoff: float, coordinates: int = 3, carried: Sequence[str] = ()) -> DataFrame:
+    """(a, b, distance) of different vectors of one length at most ``cutoff`` apart, a before b, with ``x_a`` and ``x_b`` of every column x of ``carried``.
 
     A join of grid cells over the first ``coordinates`` of each vector, in which near vectors are
     near as well; each meets its own and the neighbouring cells, and the distance is that of whole
-    vectors. Cells with many points are cut into blocks that different tasks pair. Null vectors have
-    no partner.
+    vectors. Cells with many points are cut into blocks that different tasks pair; only the table of
+    these cells may be broadcast. Null vectors have no partner.
+
+    Spark takes exploded rows to be as large as those they come from, so by its own choice it would
+    broadcast all neighbouring cells: the sides are merged.
     """
     cell = F.transform(F.slice(vector, 1, coordinates), lambda x: F.floor(x / cutoff).cast("long"))
-    rows = materialize(points.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), cell.alias("cell")), "points")
-    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
-    sizes = rows.groupBy("cell").agg(blocks.alias("blocks"))
-    left = rows.join(sizes, "cell").select(F.col("id").alias("a"), F.col("v").alias("va"), "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    rows = materialize(points.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"), *carried, cell.alias("cell")), "points")
+    crowded = materialize(rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "crowded")
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = rows.join(crowded, "cell", "left").select(F.col("id").alias("a"), F.col("v").alias("va"), *(F.col(c).alias(f"{c}_a") for c in carried), "cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     steps = F.array(*(F.array(*(F.lit((i // 3**k) % 3 - 1) for k in range(coordinates))) for i in range(3**coordinates)))
-    near = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.explode(F.transform(steps, lambda s: F.slice(F.zip_with("cell", s, lambda x, y: x + y), 1, F.size("cell")))).alias("cell"))
-    right = near.join(sizes, "cell").select("b", "vb", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    near = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), *(F.col(c).alias(f"{c}_b") for c in carried), F.explode(F.transform(steps, lambda s: F.slice(F.zip_with("cell", s, lambda x, y: x + y), 1, F.size("cell")))).alias("cell"))
+    right = near.join(crowded, "cell", "left").select("b", "vb", *(f"{c}_b" for c in carried), "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return left.join(right, ["cell", "block"]).where("a < b").select("a", "b", F.sqrt(square).alias("distance")).where(F.col("distance") <= cutoff)
+    pairs = left.join(right.hint("merge"), ["cell", "block"]).where("a < b")
+    return pairs.select("a", "b", *(f"{c}_{side}" for c in carried for side in "ab"), F.sqrt(square).alias("distance")).where(F.col("distance") <= cutoff)
 
 
 def successor_basins(pairs: DataFrame, quality: DataFrame, rounds: int = 30) -> DataFrame:

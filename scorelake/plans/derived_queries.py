@@ -276,8 +276,8 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return each.select(F.concat_ws("#", "conformer_id", "i").alias("id"), "pool_id", "point")
 
 
-def _near_points(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.vectors_within(_points(spark, d), "id", "point", _NEAR).withColumn("distance", F.round("distance", 8))
+def _near_points(spark: SparkSession, d: str, *carried: str) -> DataFrame:
+    return geometry.vectors_within(_points(spark, d), "id", "point", _NEAR, carried=carried).withColumn("distance", F.round("distance", 8))
 
 
 @query(f"WITH {_NEAR_SQL} SELECT a, b, distance FROM p")
@@ -289,9 +289,9 @@ def range_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_NEAR_SQL}, w AS (SELECT a AS id, pool_b AS pool_id, distance FROM p UNION ALL SELECT b, pool_a, distance FROM p) SELECT id, pool_id, count(*) AS near, min(distance) AS least, CASE WHEN min(distance) <= CAST(0.2 AS DOUBLE) THEN 'contact' ELSE 'near' END AS contact FROM w GROUP BY ALL")
 def range_contacts(spark: SparkSession, d: str) -> DataFrame:
     """Per point and pool of its neighbours within the cutoff: how many, the least distance, and its class."""
-    pools = _points(spark, d).select(F.col("id").alias("b"), "pool_id")
-    both = geometry.both_ways(_near_points(spark, d)).join(pools, "b")
-    out = both.groupBy(F.col("a").alias("id"), "pool_id").agg(F.count("*").alias("near"), F.min("distance").alias("least"))
+    ways = F.array(F.struct(F.col("a").alias("id"), F.col("pool_id_b").alias("pool_id")), F.struct(F.col("b").alias("id"), F.col("pool_id_a").alias("pool_id")))
+    each = _near_points(spark, d, "pool_id").select(F.inline(ways), "distance")
+    out = each.groupBy("id", "pool_id").agg(F.count("*").alias("near"), F.min("distance").alias("least"))
     return out.withColumn("contact", F.when(F.col("least") <= 0.2, "contact").otherwise("near"))
 
 

@@ -7,6 +7,7 @@ import random
 
 import pytest
 
+import __spark_entry__ as entry
 from scorelake import storage
 from scorelake.operators import geometry, prefix, resampling, utilities
 
@@ -28,6 +29,32 @@ def test_range_join_of_a_dense_cell(spark, monkeypatch):
     assert geometry.vectors_within(spark.createDataFrame([], "id int, v array<double>"), "id", "v", 1.0).count() == 0
 
 
+def broadcast_rows(node):
+    """Rows of every broadcast of an executed plan."""
+    name, own = node.nodeName(), []
+    if name == "BroadcastExchange":
+        own = [node.metrics().apply("numOutputRows").value()]
+    inner = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+    below = node.children()
+    return own + [n for x in [*inner, *(below.apply(i) for i in range(below.size()))] for n in broadcast_rows(x)]
+
+
+def test_range_contacts_broadcasts_no_points(spark, folder):
+    points = spark.read.parquet(f"{folder}/conformers.parquet").where("size(pocket_features) >= 3").select("conformer_id").distinct().count()
+    df = entry.queries()["range_contacts"](spark, folder)
+    assert df.collect()
+    assert all(n < points for n in broadcast_rows(df._jdf.queryExecution().executedPlan()))
+
+
+def test_carried_columns_of_a_range_join(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "BLOCK", 8)
+    rng = random.Random(9)
+    points = [(f"p{i}", f"g{i % 3}", [rng.gauss(0, 0.5) for _ in range(3)]) for i in range(150)]
+    df = spark.createDataFrame(points, "id string, g string, v array<double>")
+    got = sorted((r.a, r.b, r.g_a, r.g_b) for r in geometry.vectors_within(df, "id", "v", 0.3, carried=["g"]).collect())
+    assert got == sorted((p[0], q[0], p[1], q[1]) for p in points for q in points if p[0] < q[0] and math.dist(p[2], q[2]) <= 0.3)
+
+
 def test_carried_values_of_a_hot_group(spark):
     rng = random.Random(7)
     rows = [("hot" if i % 10 else None, rng.random(), i, f"v{i}" if rng.random() < 0.01 else None) for i in range(3000)]
