@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.storage import materialize
@@ -66,9 +68,9 @@ def vectors_within(points: DataFrame, key: str, vector: str, cutoff: float, coor
     """(a, b, distance) of different vectors of one length at most ``cutoff`` apart, a before b, with ``x_a`` and ``x_b`` of every column x of ``carried``.
 
     A join of grid cells over the first ``coordinates`` of each vector, in which near vectors are
-    near as well; each meets its own and the neighbouring cells, and the distance is that of whole
-    vectors. Cells with many points are cut into blocks that different tasks pair; only the table of
-    these cells may be broadcast. Null vectors have no partner.
+    near as well; each meets its own and half of the neighbouring cells, as the others meet it, and
+    the distance is that of whole vectors. Cells with many points are cut into blocks that different
+    tasks pair; only the table of these cells may be broadcast. Null vectors have no partner.
 
     Spark takes exploded rows to be as large as those they come from, so by its own choice it would
     broadcast all neighbouring cells: the sides are merged.
@@ -78,12 +80,18 @@ def vectors_within(points: DataFrame, key: str, vector: str, cutoff: float, coor
     crowded = materialize(rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "crowded")
     blocks = F.coalesce("blocks", F.lit(1))
     left = rows.join(crowded, "cell", "left").select(F.col("id").alias("a"), F.col("v").alias("va"), *(F.col(c).alias(f"{c}_a") for c in carried), "cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    steps = F.array(*(F.array(*(F.lit((i // 3**k) % 3 - 1) for k in range(coordinates))) for i in range(3**coordinates)))
-    near = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), *(F.col(c).alias(f"{c}_b") for c in carried), F.explode(F.transform(steps, lambda s: F.slice(F.zip_with("cell", s, lambda x, y: x + y), 1, F.size("cell")))).alias("cell"))
-    right = near.join(crowded, "cell", "left").select("b", "vb", *(f"{c}_b" for c in carried), "cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    steps = F.array(*(F.array(*map(F.lit, s)) for s in itertools.product((-1, 0, 1), repeat=coordinates) if s >= (0,) * coordinates))
+    cells = F.array_distinct(F.transform(steps, lambda s: F.slice(F.zip_with("cell", s, lambda x, y: x + y), 1, F.size("cell"))))
+    near = rows.select(F.col("id").alias("b"), F.col("v").alias("vb"), *(F.col(c).alias(f"{c}_b") for c in carried), F.col("cell").alias("home"), F.explode(cells).alias("cell"))
+    right = near.join(crowded, "cell", "left").select("b", "vb", *(f"{c}_b" for c in carried), "cell", (F.col("cell") == F.col("home")).alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    # The first squares are compiled, unlike the sum over whole vectors; they leave out only what is too far in any case.
+    apart = [F.get("va", F.lit(i)) - F.get("vb", F.lit(i)) for i in range(coordinates)]
+    within = F.coalesce(functools.reduce(Column.__add__, (x * x for x in apart)) <= cutoff * cutoff * (1 + 1e-9), F.lit(True))
+    once = F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    pairs = left.join(right.hint("merge"), ["cell", "block"]).where("a < b")
-    return pairs.select("a", "b", *(f"{c}_{side}" for c in carried for side in "ab"), F.sqrt(square).alias("distance")).where(F.col("distance") <= cutoff)
+    pairs = left.join(right.hint("merge"), ["cell", "block"]).where(once & within).withColumn("distance", F.sqrt(square)).where(F.col("distance") <= cutoff)
+    end = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x)
+    return pairs.select(end("a", "b"), end("b", "a"), *(end(f"{c}_{x}", f"{c}_{y}") for c in carried for x, y in ("ab", "ba")), "distance")
 
 
 def successor_basins(pairs: DataFrame, quality: DataFrame, rounds: int = 30) -> DataFrame:

@@ -46,6 +46,20 @@ def test_range_contacts_broadcasts_no_points(spark, folder):
     assert all(n < points for n in broadcast_rows(df._jdf.queryExecution().executedPlan()))
 
 
+def test_range_pairs_broadcasts_no_points(spark, folder):
+    points = spark.read.parquet(f"{folder}/conformers.parquet").where("size(pocket_features) >= 3").select("conformer_id").distinct().count()
+    df = entry.queries()["range_pairs"](spark, folder)
+    assert df.collect()
+    assert all(n < points for n in broadcast_rows(df._jdf.queryExecution().executedPlan()))
+
+
+def test_range_join_of_vectors_shorter_than_the_grid(spark):
+    rng = random.Random(10)
+    points = [(f"p{i}", [rng.uniform(-1, 1) for _ in range(2)]) for i in range(80)]
+    got = sorted((r.a, r.b) for r in geometry.vectors_within(spark.createDataFrame(points, "id string, v array<double>"), "id", "v", 0.25).collect())
+    assert got == sorted((p[0], q[0]) for p in points for q in points if p[0] < q[0] and math.dist(p[1], q[1]) <= 0.25)
+
+
 def test_carried_columns_of_a_range_join(spark, monkeypatch):
     monkeypatch.setattr(geometry, "BLOCK", 8)
     rng = random.Random(9)
